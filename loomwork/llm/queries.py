@@ -31,3 +31,17 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), longest=1024)
+
+
+@query("op7_forced_boundary_bpe")
+def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json")
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.substring_dedup import deduplicate_substrings
+
+    return deduplicate_substrings(table(spark, sf_dir, "documents"), k=20)
