@@ -45,3 +45,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.substring_dedup import deduplicate_substrings
 
     return deduplicate_substrings(table(spark, sf_dir, "documents"), k=20)
+
+
+@query("op4_ngram_jaccard")
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
