@@ -52,3 +52,17 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.ngram_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+@query("op5_multiset_hash")
+def op5_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.multiset_hash import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_cascade")
+def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.quality import judge_documents
+
+    return judge_documents(table(spark, sf_dir, "documents"))
