@@ -83,3 +83,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return read_back(format_conversations(events_of_turns(turns)))
+
+
+@query("op3_warc_capture_index")
+def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.warc import archive_and_read
+
+    return archive_and_read(table(spark, sf_dir, "pages"))
