@@ -26,6 +26,13 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @query("op10_pack_documents")
 def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.packing import pack_documents
@@ -90,3 +97,10 @@ def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.warc import archive_and_read
 
     return archive_and_read(table(spark, sf_dir, "pages"))
+
+
+@query("op8_html_template")
+def op8_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.html_template import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))

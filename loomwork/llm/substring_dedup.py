@@ -127,11 +127,6 @@ def _paths_of(docs: DataFrame, k: int, m: int, with_digest: bool) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, schema)
 
 
-def _first(doc: str, start: str) -> list:
-    """Aggregates for the smallest (doc, start): of longs, so that they combine before the shuffle without sorting."""
-    return [F.min(F.struct(doc, start)).alias("source")]
-
-
 class Coordinates:
     """Packs (doc, start) into one long where ids and places allow it, so that minima are taken over longs."""
 
@@ -183,16 +178,18 @@ def repeated_pieces(docs: DataFrame, k: int = 20, m: int = 5) -> DataFrame:
     return written(pure.unionByName(single), "pieces")
 
 
-def _compressed(docs: DataFrame) -> DataFrame:
-    """Texts compressed before they cross the network."""
+def _compressed(docs: DataFrame, carried: str | None = None) -> DataFrame:
+    """Texts compressed before they cross the network, beside ``carried`` as it is."""
+    more = [carried] if carried else []
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for b in parts:
             texts = [pack.compress(t) for (t,) in rows([b], "text")]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary())], names=["doc", "row", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary()), *b.columns[3:]], names=["doc", "row", "packed", *more])
 
-    return docs.select("doc", "row", "text").mapInArrow(run, "doc long, row long, packed binary")
+    schema = "doc long, row long, packed binary" + "".join(f", {c} {dict(docs.dtypes)[c]}" for c in more)
+    return docs.select("doc", "row", "text", *more).mapInArrow(run, schema)
 
 
 def _edges(texts: DataFrame, k: int, m: int) -> DataFrame:
@@ -249,39 +246,41 @@ def compacted_spans(pieces: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
-def remove_spans(docs: DataFrame, spans: DataFrame, schema: str, row_of: Callable[[int, bytes, np.ndarray, list[bytes] | None], tuple]) -> DataFrame:
-    """Applies ``row_of(doc, text, mask of removed words, kept words or None where all stay)`` to each document."""
+RowOf = Callable[[int | None, bytes, np.ndarray, list[bytes] | None], tuple]
+
+
+def remove_spans(texts: DataFrame, spans: DataFrame, schema: str, row_of: RowOf, carried: str | None = None) -> DataFrame:
+    """Applies ``row_of(doc, text, mask of removed words, kept words)`` to each document.
+
+    ``texts`` has doc, row and packed; ``carried`` names a column of it that is passed on as it is.
+    """
     per_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
+    columns = ["doc", "packed", "spans"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        out: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
-        for doc, packed, found in rows(parts, "doc", "packed", "spans"):
-            text = unpack.decompress(packed)
-            words = text.split()
-            gone = np.zeros(len(words), bool)
-            for s in found or ():
-                gone[s["start"] : s["start"] + s["length"]] = True
-            kept = [words[i] for i in np.flatnonzero(~gone).tolist()] if gone.any() else None
-            out.append(row_of(None if doc == LAST_ID else doc, text, gone, words if kept is None else kept))
-            size += len(text)
-            if size > 8_000_000:
-                yield flush()
-                size = 0
-        if out:
-            yield flush()
-
-    return _compressed(docs).join(per_doc, "doc", "left").select("doc", "packed", "spans").mapInArrow(run, schema)
+        for batch in parts:
+            out: list[tuple] = []
+            for doc, packed, found in rows([batch], *columns):
+                text = unpack.decompress(packed)
+                words = text.split()
+                gone = np.zeros(len(words), bool)
+                for s in found or ():
+                    gone[s["start"] : s["start"] + s["length"]] = True
+                kept = [words[i] for i in np.flatnonzero(~gone).tolist()] if gone.any() else words
+                out.append(row_of(None if doc == LAST_ID else doc, text, gone, kept))
+            arrays = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * len(types), types, strict=True)]
+            if carried:
+                arrays.append(batch.column(batch.schema.get_field_index(carried)))
+            yield pa.RecordBatch.from_arrays(arrays, names=names + ([carried] if carried else []))
+
+    joined = texts.join(per_doc, "doc", "left").select(*columns, *([carried] if carried else []))
+    if carried:
+        schema += f", {carried} {dict(texts.dtypes)[carried]}"
+    return joined.mapInArrow(run, schema)
 
 
 def deduplicate_substrings(docs: DataFrame, k: int = 20, m: int = 5) -> DataFrame:
@@ -293,4 +292,27 @@ def deduplicate_substrings(docs: DataFrame, k: int = 20, m: int = 5) -> DataFram
         joined = b" ".join(kept)
         return doc, len(gone), int(gone.sum()), hashlib.sha256(joined).hexdigest()
 
-    return remove_spans(source, spans, "doc_id long, n_words long, n_removed long, kept_sha256 string", row_of)
+    return remove_spans(_compressed(source), spans, "doc_id long, n_words long, n_removed long, kept_sha256 string", row_of)
+
+
+def deduplicated_texts(docs: DataFrame, k: int = 20, m: int = 5) -> DataFrame:
+    """The documents with repeated words removed, with all their columns; ``n_chars``, where there is one, is counted anew.
+
+    A text that loses words becomes its kept words joined by one space; another stays as it is (null stays null).
+    """
+    source = sources(docs)
+    spans = compacted_spans(repeated_pieces(source, k, m), k)
+    others = [c for c in docs.columns if c != "text"]
+    carried = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.struct(*others, F.col("text").isNull().alias("_none")).alias("others"),
+    )
+
+    def row_of(doc: int, text: bytes, gone: np.ndarray, kept: list[bytes]) -> tuple:
+        return (b" ".join(kept).decode() if gone.any() else text.decode(),)
+
+    done = remove_spans(_compressed(carried, "others"), spans, "text string", row_of, "others")
+    text = F.when(~F.col("others._none"), F.col("text"))
+    return done.select(*[text.alias(c) if c == "text" else F.length(text).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(f"others.`{c}`").alias(c) for c in docs.columns])
