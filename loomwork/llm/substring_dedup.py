@@ -10,9 +10,9 @@ The windows of ``k`` consecutive words are the edges of a de Bruijn graph whose
    are equal and the first source coordinate.  Paths under an anchor seen once cannot repeat.  Where all paths of an
    anchor are equal, the path does not branch: every occurrence but the first repeats the first as a whole.  Where they
    differ, the graph branches; these paths are split into single edges again, which are compared one by one.
-3. *Compaction through joins.*  Repeated pieces carry the coordinate of their first occurrence.  A piece continues
-   another when it follows it in its document *and* its source follows the other's source; a self-join on these
-   coordinates links such pieces, and each chain of links becomes one long repeated span.
+3. *Compaction through joins.*  Paths and edges are joined with their first occurrence and so carry the coordinate of
+   their source.  A piece continues another when it follows it in its document *and* its source follows the other's
+   source; each chain of such pieces becomes one long repeated span, which its source coordinates verify.
 4. *Removal.*  Words covered by a span are removed; spans are judged on the input, not on what is left.
 
 Windows are compared by two 64-bit digests together (anchor and window), coordinates by document id and place.
@@ -34,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.arrow import rows
@@ -175,7 +175,7 @@ def repeated_pieces(docs: DataFrame, k: int = 20, m: int = 5) -> DataFrame:
         .where(at != F.col("source"))
         .select("doc", "start", F.lit(1).alias("edges"), coordinates.doc("source").alias("source_doc"), coordinates.start("source").alias("source_start"))
     )
-    return written(pure.unionByName(single), "pieces")
+    return pure.unionByName(single)
 
 
 def _compressed(docs: DataFrame, carried: str | None = None) -> DataFrame:
@@ -183,7 +183,7 @@ def _compressed(docs: DataFrame, carried: str | None = None) -> DataFrame:
     more = [carried] if carried else []
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for b in parts:
             texts = [pack.compress(t) for (t,) in rows([b], "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.binary()), *b.columns[3:]], names=["doc", "row", "packed", *more])
@@ -218,31 +218,23 @@ def _edges(texts: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def compacted_spans(pieces: DataFrame, k: int = 20) -> DataFrame:
-    """Chains of pieces joined to long repeated spans of words: (doc, start, length, source_doc, source_start)."""
-    here = pieces.dropDuplicates(["doc", "start", "source_doc", "source_start"])
-    before = here.select(
+    """Chains of pieces joined to long repeated spans of words: (doc, start, length, source_doc, source_start).
+
+    A chain is what follows one another both in the document and in its source; a document's pieces are dealt out once,
+    by the document, for all steps up to the result.
+    """
+    shift = F.col("start") - F.col("source_start")
+    here = pieces.repartition("doc").select("doc", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("edges")).alias("end"), "source_doc", shift.alias("shift"))
+    chain = Window.partitionBy("doc", "source_doc", "shift").orderBy("start")
+    reach = F.max("end").over(chain.rowsBetween(Window.unboundedPreceding, -1))
+    marked = here.withColumn("head", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    numbered = marked.withColumn("number", F.sum("head").over(chain.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc", "source_doc", "shift", "number").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(
         "doc",
-        (F.col("start") + F.col("edges")).alias("start"),
+        F.col("start").cast("int").alias("start"),
+        (F.col("end") - F.col("start") + (k - 1)).cast("int").alias("length"),
         "source_doc",
-        (F.col("source_start") + F.col("edges")).alias("source_start"),
-    ).distinct()
-    after = here.select("doc", F.col("start").alias("end"), "source_doc", F.col("source_start").alias("source_end"))
-    keys = ["doc", "start", "source_doc", "source_start"]
-    heads = here.join(before, keys, "left_anti").select(*keys, F.lit(True).alias("head"))
-    tails = (
-        here.select("doc", (F.col("start") + F.col("edges")).alias("end"), "source_doc", (F.col("source_start") + F.col("edges")).alias("source_end"))
-        .join(after, ["doc", "end", "source_doc", "source_end"], "left_anti")
-        .select("doc", F.col("end").alias("start"), "source_doc", F.col("source_end").alias("source_start"), F.lit(False).alias("head"))
-    )
-    # along a chain start - source_start stays the same, so the k-th head of it belongs to the k-th tail
-    from pyspark.sql import Window
-
-    chain = Window.partitionBy("doc", "source_doc", "shift").orderBy("start", "head")
-    marks = heads.unionByName(tails).withColumn("shift", F.col("start") - F.col("source_start"))
-    return (
-        marks.withColumn("end", F.lead("start").over(chain))
-        .where("head")
-        .select("doc", F.col("start").cast("int").alias("start"), (F.col("end") - F.col("start") + (k - 1)).cast("int").alias("length"), "source_doc", F.col("source_start").cast("int").alias("source_start"))
+        (F.col("start") - F.col("shift")).cast("int").alias("source_start"),
     )
 
 
