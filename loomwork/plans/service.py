@@ -161,15 +161,16 @@ _QRELS = "SELECT b.item_id AS qid, d.doc_id AS did, 1 AS score FROM benchmark b
 def passage_qrels(read):
     """Passages that stand in documents: a stated, small query set against all rows.
 
-    Passages are matched by a digest of their first words' window first, never by all pairs of texts.
+    Candidates share the second to fourth word of the passage; only these are compared as texts.
     """
     items = read("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
     # a passage may begin inside a word of the document, so the first whole word between spaces is looked up
     keyed = items.withColumn("key", F.concat_ws(" ", F.slice(F.split("passage", " "), 2, 3)))
     triples = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda i: F.concat_ws(" ", F.slice(w, i, F.lit(3))))
     keys = F.array_distinct(F.get(F.transform(F.array(F.split("text", " ")), triples), F.lit(0)))
-    windows = read("documents").select(F.col("doc_id").alias("did"), "text", F.explode(keys).alias("key"))
-    return windows.join(keyed, "key").where(F.contains("text", "passage")).select("qid", "did").distinct().withColumn("score", F.lit(1))
+    documents = read("documents").select(F.col("doc_id").alias("did"), "text")
+    candidates = documents.select("did", F.explode(keys).alias("key")).join(keyed, "key").select("did", "qid", "passage")
+    return candidates.join(documents, "did").where(F.contains("text", "passage")).select("qid", "did").distinct().withColumn("score", F.lit(1))
 
 
 @query("beir_qrels", _QRELS)
