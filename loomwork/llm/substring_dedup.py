@@ -137,7 +137,7 @@ class Coordinates:
 
     def pack(self, doc: str = "doc", start: str = "start"):
         if not self.packs:
-            return F.struct(F.col(doc), F.col(start).cast("long"))
+            return F.struct(F.col(doc).alias("doc"), F.col(start).cast("long").alias("start"))
         base = F.when(F.col(doc) == LAST_ID, F.lit(2**31 - 1).cast("long")).otherwise(F.col(doc) - self.low)
         return base * F.lit(2**32).cast("long") + F.col(start).cast("long")
 
