@@ -8,8 +8,7 @@ At the end of a task the last windows are cut at powers of two, so that nothing
 
 Every task packs its own documents, so no shuffle is needed, and memory holds the ids of one batch of documents plus
 at most one open window per tier.  ``sequence_id`` is the task's number and a counter, the same when a task is run
-again.  Sequences are dealt to step groups in boustrophedon order of their length within a task, so that groups hold
-about as many tokens each.
+again.  A task deals its sequences to its step groups back and forth, so that the groups hold about as many tokens each.
 
 Defined results: a null text is empty and yields the end id alone; a null id is kept as null; repeated rows are packed
 once each; an empty table yields no piece; columns other than the id and the text are ignored.

@@ -22,8 +22,8 @@ no group is ever gathered.  Texts cross the network twice, compressed: once for
 for the result.
 
 Defined results: a null text has no words; documents shorter than ``k`` words stay whole; ids that are null come after
-all others; rows that share an id share its coordinates (equal windows at equal places of them are not earlier than
-one another) and are each returned; an empty table gives an empty result; other columns are ignored.
+all others; rows that share an id share its coordinates: equal windows at equal places of them are not earlier than
+one another, places removed in one are removed in each, and each row is returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
