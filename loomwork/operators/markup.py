@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,8 +73,6 @@ def parse_tei(xml: str | None) -> dict | None:
 
 def tei_fields(xml: str | Column) -> Column:
     """Struct of the fields of TEI documents, parsed in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf(TEI)
     def parse(texts: pd.Series) -> pd.DataFrame:
         empty = {k: None for k in ("title", "abstract", "doi", "keywords", "authors", "idnos", "sections")}

@@ -27,7 +27,8 @@ from loomwork.functions import vectors as V
     ],
 )
 def test_distances(spark, metric, p, q, expected):
-    df = spark.createDataFrame([(p, q)], "p array<double>, q array<double>" if metric != "jaccard" else "p array<int>, q array<int>")
+    kind, as_ = ("int", int) if metric == "jaccard" else ("double", float)
+    df = spark.createDataFrame([([*map(as_, p)], [*map(as_, q)])], f"p array<{kind}>, q array<{kind}>")
     f = {"euclidean": V.euclidean, "hamming": V.hamming, "angular": V.angular, "jaccard": V.jaccard}[metric]
     assert df.select(f(F.col("p"), F.col("q")).alias("d")).first().d == pytest.approx(expected)
 

@@ -86,7 +86,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "docs/a.b.json").write_text('[{"page_number": 1, "page_width": 100.0, "top": 10.9, "left": 1.0, "width": 5.0, "height": 2.0, "type": "Text", "text": "t"}]')
     assert [r.doc_id for r in readers.text_objects(spark, str(tmp_path / "docs")).collect()] == ["a"]
     e = readers.layout_elements(spark, str(tmp_path / "docs"), 200.0).first()
-    assert (e.doc_id, e.index, e.top, e.right) == ("a.b", 0, 21, 12)
+    assert (e.doc_id, e["index"], e.top, e.right) == ("a.b", 0, 21, 12)
     with sqlite3.connect(tmp_path / "x.db") as c:
         c.execute("CREATE TABLE docs (doc_id TEXT, n INTEGER)")
         c.execute("INSERT INTO docs VALUES ('d', 3)")
