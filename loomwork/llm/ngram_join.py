@@ -14,8 +14,9 @@ tokens, so its errors cost time, never links.
 
 Documents with equal sets are one node.  Nodes that share an index entry are candidates.  First every node is verified
 against a few leaders (of its entries, by different orders), and components are formed from the links found; then all
-remaining candidate pairs of *different* components are verified exactly, save those that the triangle inequality of the
-Jaccard distance to a common leader rules out.  Pairs within a component are never compared again, which keeps large groups
+remaining candidate pairs of *different* components are verified exactly, save those that cannot be links: by the triangle
+inequality of the Jaccard distance to a common leader, or because too many of
+their rare prefix tokens stand in no other prefix.  Pairs within a component are never compared again, which keeps large groups
 of near copies linear, and no link between components can be missed.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a null id is returned with a null
@@ -149,8 +150,9 @@ def _sum_sketch(profiles: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(2, -1)
 
 
-def signatures(s: np.ndarray, frequency: np.ndarray, num: int, den: int, frequent: int) -> np.ndarray:
-    """Index entries of one set; see the module's text.  ``frequency`` holds the estimates of its tokens."""
+def signatures(s: np.ndarray, frequency: np.ndarray, num: int, den: int, frequent: int) -> tuple[np.ndarray, int, bool]:
+    """Index entries of one set (single tokens even, pairs odd), how many are single, and whether all its rare tokens are
+    among them; see the module's text.  ``frequency`` holds the estimates of its tokens."""
     n = len(s)
     assert 2 * num > den, "a similarity of one half or less needs other groups"
     need = n - (-(-num * n // den)) + 1
@@ -159,8 +161,8 @@ def signatures(s: np.ndarray, frequency: np.ndarray, num: int, den: int, frequen
     common = level[order] >= frequent
     rare = int(np.searchsorted(common, True)) if common.any() else n
     if rare >= need:
-        return s[order[:need]]
-    out = [s[order[:rare]]]
+        return s[order[:need]] & ~_U(1), need, False
+    out = [s[order[:rare]] & ~_U(1)]
     rest = s[order[rare:]]
     for tier in {n.bit_length(), (n * den // num).bit_length(), (-(-n * num // den)).bit_length()}:
         groups = max(1, ((1 << tier) * (den - num) // den) // 16)
@@ -179,12 +181,12 @@ def signatures(s: np.ndarray, frequency: np.ndarray, num: int, den: int, frequen
         for g in sizes:
             own = np.sort(rest[:end][used == g])
             i, j = np.triu_indices(len(own), 1)
-            out.append(pair(pair(own[i], own[j]), np.broadcast_to(label, i.shape)))
-    return np.concatenate(out)
+            out.append(pair(pair(own[i], own[j]), np.broadcast_to(label, i.shape)) | _U(1))
+    return np.concatenate(out), rare, True
 
 
 def _entries(docs: DataFrame, n: int, num: int, den: int, frequent: int, bits: int, sketch) -> DataFrame:
-    """Index entries (entry, node, n) of all documents' sets."""
+    """Index entries (entry, node, packed) of all documents' sets; packed holds n, the single entries and whether full."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Sketch(bits, sketch.value)
@@ -193,19 +195,20 @@ def _entries(docs: DataFrame, n: int, num: int, den: int, frequent: int, bits: i
             if not sets:
                 continue
             frequency = counts.estimate(np.concatenate(sets))
-            at, out, nodes = 0, [], []
+            at, out, nodes, packed = 0, [], [], []
             for s in sets:
-                got = signatures(s, frequency[at : at + len(s)], num, den, frequent)
+                got, singles, full = signatures(s, frequency[at : at + len(s)], num, den, frequent)
                 at += len(s)
                 out.append(got)
                 nodes.append(set_digest(s))
+                packed.append(len(s) | singles << 31 | full << 62)
             sizes = [len(x) for x in out]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes)), pa.array(np.repeat(np.array([len(s) for s in sets], np.int32), sizes))],
-                names=["entry", "node", "n"],
+                [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes)), pa.array(np.repeat(np.array(packed, np.int64), sizes))],
+                names=["entry", "node", "packed"],
             )
 
-    return docs.select("text").mapInArrow(run, "entry long, node long, n int")
+    return docs.select("text").mapInArrow(run, "entry long, node long, packed long")
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -318,7 +321,10 @@ def _links(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, leader
     """Links (a, b) enough to connect every component."""
     entries = _entries(docs, n, num, den, frequent, bits, sketch)
     shared = entries.groupBy("entry").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("entry")
-    index = written(entries.join(shared, "entry").groupBy("entry", "node").agg(F.max("n").alias("n")), "index")
+    both = entries.join(shared, "entry").groupBy("entry", "node").agg(F.max("packed").alias("packed"))
+    low = F.lit(2**31 - 1).cast("long")
+    fields = {"n": F.col("packed").bitwiseAND(low), "singles": F.shiftright("packed", 31).bitwiseAND(low), "full": F.shiftright("packed", 62) == 1}
+    index = written(both.select("entry", "node", *[f.alias(k) for k, f in fields.items()]), "index")
     wanted = index.groupBy("node").agg(F.lit(1).alias("one"))
     texts = written(_texts_of(docs, first.join(wanted, "node").select("node", "doc", "node_n")), "texts")
 
@@ -343,13 +349,25 @@ def _links(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, leader
     )
     # of a node's own leaders only: bounded by ``leaders``
     own = near.join(tried.select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"]).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("leader", "far"))).alias("far"))
-    rest = written(named.join(open_entries, "entry").join(own, "node", "left").select("entry", "node", "n", "component", "far"), "rest")
+    # what a node can share at most: of its rare prefix tokens those in no other prefix are in no set that is fully indexed
+    single = F.count_if(F.col("entry").bitwiseAND(F.lit(1).cast("long")) == 0)
+    bounds = index.groupBy("node").agg((F.max("n") - (F.max("singles") - single)).alias("m"))
+    rest = (
+        named.join(open_entries, "entry")
+        .join(bounds, "node")
+        .join(own, "node", "left")
+        .select("entry", "node", "n", "full", "m", "component", "far")
+    )
+    rest = written(rest, "rest")
     one, two = rest.alias("one"), rest.alias("two")
     limit = (den - num) / den + 1e-9
     ruled_out = F.exists(F.map_keys("one.far"), lambda k: F.abs(F.try_element_at("one.far", k) - F.try_element_at("two.far", k)) > limit)
     direct_one = F.try_element_at("one.far", F.col("two.node")) > limit
     direct_two = F.try_element_at("two.far", F.col("one.node")) > limit
     fits = (F.col("one.n") * den >= F.col("two.n") * num) & (F.col("two.n") * den >= F.col("one.n") * num)
+    a, b = F.col("one.m"), F.col("two.m")
+    most = F.when(F.col("one.full") & F.col("two.full"), F.least(a, b)).when(F.col("two.full"), a).when(F.col("one.full"), b).otherwise(F.greatest(a, b))
+    fits = fits & (most * den >= (F.col("one.n") + F.col("two.n") - most) * num)
     pairs = (
         one.join(two, (F.col("one.entry") == F.col("two.entry")) & (F.col("one.component") < F.col("two.component")) & fits & ~F.coalesce(ruled_out, F.lit(False)) & ~F.coalesce(direct_one, F.lit(False)) & ~F.coalesce(direct_two, F.lit(False)))
         .select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
