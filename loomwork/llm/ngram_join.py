@@ -329,7 +329,9 @@ def _links(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, leader
     texts = written(_texts_of(docs, first.join(wanted, "node").select("node", "doc", "node_n")), "texts")
 
     # a few leaders for each node: of its entries' first members in several orders, that which it shares most entries with
-    orders = [F.xxhash64("node", F.lit(k)) for k in range(leaders)]
+    # first by the number of rare tokens: the text that near copies come from has the fewest
+    plain = F.xxhash64("node").bitwiseAND(F.lit(2**31 - 1).cast("long"))
+    orders = [F.shiftleft("singles", 31) + plain, *[F.xxhash64("node", F.lit(k)) for k in range(1, leaders)]]
     tops = index.groupBy("entry").agg(F.count(F.lit(1)).alias("members"), *[F.min_by("node", o).alias(f"top{k}") for k, o in enumerate(orders)])
     offered = index.join(tops, "entry").select("node", F.posexplode(F.array(*[f"top{k}" for k in range(leaders)])).alias("order", "a"))
     counted = offered.where("a <> node").groupBy("node", "order", "a").agg(F.count(F.lit(1)).alias("times"))
