@@ -96,13 +96,13 @@ def _added(total: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """One scan: (doc, node, n_shingles) of each document and, as rows without a node, parts of each task's sketch."""
+    """One scan: (doc, key, node, n_shingles) of each document and, as rows without a node, parts of each task's sketch."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros((2, 1 << bits), np.uint32)
         seen: set[int] = set()
         sketch = Sketch(bits)
-        for some in batches(rows(parts, "doc", "text"), lambda r: len(r[1])):
+        for some in batches(rows(parts, "doc", "text", "key"), lambda r: len(r[1])):
             sets = token_sets([r[1] for r in some], n)
             nodes = [set_digest(s) for s in sets]
             new = []
@@ -116,19 +116,19 @@ def _profiles(docs: DataFrame, n: int, bits: int) -> DataFrame:
                     np.add.at(cells[row], at, 1)
             k = len(some)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in some], pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                names=["doc", "node", "n", "chunk", "counts"],
+                [pa.array([r[0] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                names=["doc", "key", "node", "n", "chunk", "counts"],
             )
         if seen:
             pack = zstandard.ZstdCompressor(level=1)
             parts_ = cells.reshape(_CHUNKS, -1)
             packed = [pack.compress(p.tobytes()) for p in parts_]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(_CHUNKS, pa.int64()), pa.nulls(_CHUNKS, pa.int64()), pa.nulls(_CHUNKS, pa.int64()), pa.array(range(_CHUNKS), pa.int32()), pa.array(packed, pa.binary())],
-                names=["doc", "node", "n", "chunk", "counts"],
+                [*[pa.nulls(_CHUNKS, pa.int64()) for _ in range(4)], pa.array(range(_CHUNKS), pa.int32()), pa.array(packed, pa.binary())],
+                names=["doc", "key", "node", "n", "chunk", "counts"],
             )
 
-    return docs.mapInArrow(run, "doc long, node long, n long, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc long, key long, node long, n long, chunk int, counts binary")
 
 
 def _sum_sketch(profiles: DataFrame, bits: int) -> np.ndarray:
@@ -212,14 +212,14 @@ def _entries(docs: DataFrame, n: int, num: int, den: int, frequent: int, bits: i
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, packed text) of the wanted nodes; ``nodes`` has (node, doc)."""
+    """(node, packed text) of the wanted nodes; ``nodes`` has (node, doc, key), as one id may have several texts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for b in parts:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack.compress(t) for (t,) in rows([b], "text")], pa.binary())], names=["doc", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack.compress(t) for (t,) in rows([b], "text")], pa.binary())], names=["doc", "key", "packed"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, packed binary").join(nodes, "doc").select("node", "packed", "node_n")
+    return docs.select("doc", "key", "text").mapInArrow(run, "doc long, key long, packed binary").join(nodes, ["doc", "key"]).select("node", "packed", "node_n")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, block: int = 128) -> DataFrame:
@@ -296,10 +296,10 @@ def jaccard_components(
     ``frequent_level``: tokens estimated in at least ``2 ** frequent_level`` sets are indexed by pairs.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     profiles = written(_profiles(source, n, sketch_bits), "profiles")
-    known = profiles.where("chunk is null").select("doc", "node", "n")
-    first = known.where("doc is not null and n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("node_n"))
+    known = profiles.where("chunk is null").select("doc", "key", "node", "n")
+    first = known.where("doc is not null and n > 0").groupBy("node").agg(F.min(F.struct("doc", "key")).alias("of"), F.max("n").alias("node_n")).select("node", "of.doc", "of.key", "node_n")
     sketch = spark.sparkContext.broadcast(_sum_sketch(profiles, sketch_bits))
     valid = source.where("doc is not null")
     links = _links(valid, first, n, num, den, leaders, frequent_level, sketch_bits, sketch)
@@ -326,7 +326,7 @@ def _links(docs: DataFrame, first: DataFrame, n: int, num: int, den: int, leader
     fields = {"n": F.col("packed").bitwiseAND(low), "singles": F.shiftright("packed", 31).bitwiseAND(low), "full": F.shiftright("packed", 62) == 1}
     index = written(both.select("entry", "node", *[f.alias(k) for k, f in fields.items()]), "index")
     wanted = index.groupBy("node").agg(F.lit(1).alias("one"))
-    texts = written(_texts_of(docs, first.join(wanted, "node").select("node", "doc", "node_n")), "texts")
+    texts = written(_texts_of(docs, first.join(wanted, "node").select("node", "doc", "key", "node_n")), "texts")
 
     # a few leaders for each node: of its entries' first members in several orders, that which it shares most entries with
     # first by the number of rare tokens: the text that near copies come from has the fewest

@@ -122,6 +122,17 @@ def test_prefixes_of_linked_sets_share_an_entry():
         assert np.intersect1d(ngram_join.signatures(a, often(a), 85, 100, 10)[0], ngram_join.signatures(b, often(b), 85, 100, 10)[0]).size
 
 
+def test_texts_of_one_id_are_verified_each_with_its_own(spark):
+    words = lambda i, k: [f"w{i}x{k}n{j}" for j in range(60)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = []
+    for i in range(12):
+        x, y = words(i, 0), words(i, 1)
+        rows += [(10 * i + 3, " ".join(x)), (10 * i + 3, " ".join(y)), (10 * i + 5, near(x)), (10 * i + 7, near(y))]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(X.table(spark, rows), 4, 85, 100, sketch_bits=12).collect()}
+    assert got == {(10 * i + k, 10 * i + 3) for i in range(12) for k in (3, 5, 7)}
+
+
 def test_empty_table_has_no_components(spark):
     assert ngram_join.jaccard_components(X.table(spark, []), 4, 85, 100, sketch_bits=10).count() == 0
 
