@@ -167,6 +167,28 @@ def kg_overlap_edges(read):
     return graph.overlap_edges(items, graph.similar_items(graph.vocabulary(items), 0.9), 0.9)
 
 
+# All customers: edges of nodes follow from classes of equal item sets, so the self join compares classes.
+_KG_CLASS = "SELECT id, min(id) OVER (PARTITION BY items) AS class FROM (SELECT id, list(field || '|' || item ORDER BY field, item) AS items FROM n GROUP BY id)"
+_KG_ALL = _KG.replace(" WHERE id % 100 = 0", "")
+
+
+def _customer_items(read):
+    o = read("orders").select(F.col("o_custkey").alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("item")) for f, c in (("priority", "o_orderpriority"), ("status", "o_orderstatus"))])).alias("f"))
+    return o.select("id", "f.field", "f.item").distinct()
+
+
+@query("kg_overlap_classes", f"WITH n AS ({_ITEMS}) SELECT id, class FROM ({_KG_CLASS})")
+def kg_overlap_classes(read):
+    return graph.item_classes(_customer_items(read))
+
+
+@query("kg_overlap_class_edges", f"WITH n AS ({_ITEMS}), k AS ({_KG_CLASS}), e AS ({_KG_ALL}) SELECT DISTINCT a.class AS source, b.class AS target, score FROM e JOIN k a ON a.id = e.source JOIN k b ON b.id = e.target WHERE score >= 0.24")
+def kg_overlap_class_edges(read):
+    """Edges among all customers, by the classes of ``kg_overlap_classes``."""
+    items = _customer_items(read)
+    return graph.class_edges(items, graph.item_classes(items), graph.similar_items(graph.vocabulary(items), 0.9), 0.24)
+
+
 @query("vocabulary_repair", r"WITH v AS (SELECT DISTINCT term FROM (SELECT lower(unnest(string_split(text, ' '))) AS term FROM benchmark) WHERE regexp_full_match(term, '[\p{L}]{6,}')), w AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}-]+')) AS term FROM documents) SELECT id, term FROM w SEMI JOIN v USING (term)")
 def vocabulary_repair(read):
     terms = read("benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term")).where(F.col("term").rlike(r"^\p{L}{6,}$")).distinct()

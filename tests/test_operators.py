@@ -81,6 +81,18 @@ def test_synonyms_take_the_shortest_name(spark):
     assert {r.item: r.canonical for r in graph.synonym_groups(v).collect()} == {"red soil": "red soil", "soil red": "red soil", "forest": "forest"}
 
 
+def test_class_edges_stand_for_the_edges_of_all_nodes(spark):
+    rows = [(i, f, x) for i in range(1, 31) for f, xs in (("a", "pq"[: 1 + i % 2]), ("b", "rst"[i % 3 :])) for x in xs if f == "a" or i % 5]
+    items = spark.createDataFrame(rows, "id long, field string, item string")
+    similar = graph.similar_items(graph.vocabulary(items), 0.9)
+    every = {(r.source, r.target, r.score) for r in graph.overlap_edges(items.withColumn("ord", F.col("id")), similar, 0.24).collect()}
+    classes = graph.item_classes(items)
+    of = {r.id: r["class"] for r in classes.collect()}
+    by_class = {(r.source, r.target): r.score for r in graph.class_edges(items, classes, similar, 0.24).collect()}
+    assert len(of) == 30 and len(set(of.values())) < 30
+    assert every == {(a, b, by_class[of[a], of[b]]) for a in of for b in of if a < b and (of[a], of[b]) in by_class}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs/a.b.json").write_text('[{"page_number": 1, "page_width": 100.0, "top": 10.9, "left": 1.0, "width": 5.0, "height": 2.0, "type": "Text", "text": "t"}]')
