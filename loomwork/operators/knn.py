@@ -134,6 +134,25 @@ def similar_pairs(queries: DataFrame, corpus: DataFrame, least: float, block: in
     return pairs.mapInPandas(run, "qid long, did long, similarity double")
 
 
+def linked_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
+    """(source, target, similarity): all pairs of vectors with a cosine of ``least`` or more, each once, source < target.
+
+    Blocks without a smaller id than the other's largest are not multiplied.
+    """
+    one = packed(vectors, "vec_id", "embedding", block)
+    pairs = one.select(F.col("ids").alias("qids"), "dim", F.col("data").alias("qdata")).join(one.select("ids", "data"), F.array_min("qids") < F.array_max("ids"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for qids, dim, qdata, ids, data in p.itertuples(index=False):
+                a, b = (np.frombuffer(x, "<f8").reshape(-1, dim) for x in (qdata, data))
+                s = 1 - distances("angular", a, b)
+                i, j = np.nonzero((s >= least) & (np.asarray(qids)[:, None] < np.asarray(ids)[None, :]))
+                yield pd.DataFrame({"source": np.asarray(qids)[i], "target": np.asarray(ids)[j], "similarity": s[i, j]})
+
+    return pairs.mapInPandas(run, "source long, target long, similarity double")
+
+
 def rescored(candidates: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Candidates (qid, did) with their exact angular distance, ranked by it."""
     from loomwork.functions.vectors import angular, doubles

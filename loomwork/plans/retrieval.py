@@ -58,6 +58,15 @@ def cosine_edges(read):
     return near.select(F.col("qid").alias("source"), F.col("did").alias("target"), F.round("similarity", 4).alias("score"))
 
 
+@query(
+    "cosine_links",
+    f"WITH c AS (SELECT vec_id, {_V} AS e FROM embeddings) SELECT a.vec_id AS source, b.vec_id AS target, round(list_cosine_similarity(a.e, b.e), 4) AS score FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3",
+)
+def cosine_links(read):
+    """Links between any two vectors with cosine 0.3 or more, each once."""
+    return K.linked_pairs(read("embeddings"), 0.3).select("source", "target", F.round("similarity", 4).alias("score"))
+
+
 @query(
     "set_jaccard",
     """WITH s AS (SELECT conv_id, list_distinct(list(role ORDER BY turn)) AS a, list_distinct(list(substr(role, 1, 1) || (turn % 3) ORDER BY turn)) AS b, list_distinct(list(substr(role, 1, 1) || (turn % 2) ORDER BY turn)) AS c FROM conversations GROUP BY conv_id)

@@ -93,6 +93,17 @@ def test_class_edges_stand_for_the_edges_of_all_nodes(spark):
     assert every == {(a, b, by_class[of[a], of[b]]) for a in of for b in of if a < b and (of[a], of[b]) in by_class}
 
 
+def test_linked_pairs_take_all_vectors(spark):
+    import numpy as np
+
+    v = np.random.default_rng(3).standard_normal((40, 4))
+    e = spark.createDataFrame([(i + 1, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    expected = {(i + 1, j + 1) for i in range(40) for j in range(i + 1, 40) if unit[i] @ unit[j] >= 0.3}
+    got = [(r.source, r.target) for r in knn.linked_pairs(e.repartition(3), 0.3, block=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs/a.b.json").write_text('[{"page_number": 1, "page_width": 100.0, "top": 10.9, "left": 1.0, "width": 5.0, "height": 2.0, "type": "Text", "text": "t"}]')
