@@ -195,6 +195,13 @@ def vocabulary_repair(read):
     return graph.repaired(read("documents").select(F.col("doc_id").alias("id"), "text"), terms)
 
 
+@query("vocabulary_containment", "WITH v AS (SELECT DISTINCT term FROM (SELECT lower(unnest(string_split(text, ' '))) AS term FROM benchmark)) SELECT doc_id AS id, term FROM documents, v WHERE contains(lower(text), term)")
+def vocabulary_containment(read):
+    """The whole vocabulary, as substrings."""
+    terms = read("benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term"))
+    return graph.contained(read("documents").select(F.col("doc_id").alias("id"), "text"), terms)
+
+
 @query(
     "scenario_sample",
     """WITH n AS (SELECT DISTINCT conv_id AS id, role AS theme FROM conversations), c AS (SELECT * FROM n, (VALUES ('novice'), ('expert')) p(persona), (VALUES ('plain'), ('formal')) s(style), (VALUES ('short'), ('long')) l(length))

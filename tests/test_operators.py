@@ -104,6 +104,12 @@ def test_linked_pairs_take_all_vectors(spark):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_contained_terms_stand_inside_words(spark):
+    nodes = spark.createDataFrame([(1, "Rainforests, e.g. the AMAZON's"), (2, None), (3, "sea")], "id long, text string")
+    terms = spark.createDataFrame([(t,) for t in ("forest", "e.g.", "amazon's", "sea", "rain", "fire", "forest")], "term string")
+    assert sorted((r.id, r.term) for r in graph.contained(nodes, terms).collect()) == [(1, "amazon's"), (1, "e.g."), (1, "forest"), (1, "rain"), (3, "sea")]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs/a.b.json").write_text('[{"page_number": 1, "page_width": 100.0, "top": 10.9, "left": 1.0, "width": 5.0, "height": 2.0, "type": "Text", "text": "t"}]')
