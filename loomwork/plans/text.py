@@ -93,6 +93,26 @@ def hybrid_topk(read):
     return L.top(L.fused(dense, L.sparse_dot(_as_queries(w), w).where("qid <> did")), 10)
 
 
+@query(
+    "hybrid_full_topk",
+    f"""WITH {_SPARSE}, p AS (SELECT x.did AS qid, u.did, sum(x.weight * u.weight) AS score FROM x JOIN u USING (term) WHERE x.did <> u.did GROUP BY ALL),
+    g AS (SELECT a.vec_id AS qid, b.vec_id AS did, 1 - (round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    f AS (SELECT coalesce(g.qid, p.qid) AS qid, coalesce(g.did, p.did) AS did, round(0.7 * coalesce(g.score, 0) + 0.3 * coalesce(p.score, 0), 6) AS score FROM g FULL JOIN p ON g.qid = p.qid AND g.did = p.did)
+    SELECT qid, did, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM f) WHERE rank <= 10""",
+)
+def hybrid_full_topk(read):
+    """The fusion of ``hybrid_topk`` with the dense similarity of every vector to each query."""
+    e = read("embeddings")
+    w = _weights(read)
+    return L.top(_all_fused(e, L.sparse_dot(_as_queries(w), w).where("qid <> did")), 10)
+
+
+def _all_fused(e, sparse):
+    """Every hundredth vector with all others, fused with sparse scores."""
+    dense = K.similar_pairs(K.every_hundredth(e), e, float("-inf")).select("qid", "did", (1 - F.round(1 - F.col("similarity"), 6)).alias("score"))
+    return L.fused(dense, sparse)
+
+
 _RERANK = f"""{_BM25}, qt AS (SELECT item_id AS qid, list_distinct({TOKENS_A}) AS q FROM benchmark),
     z AS (SELECT r.qid, r.did, round(len(list_intersect(q, t)) / len(q), 6) AS score FROM r JOIN qt USING (qid) JOIN d USING (did) WHERE rank <= 100)
     SELECT qid, did, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM z) WHERE rank <= 10"""

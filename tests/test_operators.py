@@ -110,6 +110,15 @@ def test_contained_terms_stand_inside_words(spark):
     assert sorted((r.id, r.term) for r in graph.contained(nodes, terms).collect()) == [(1, "amazon's"), (1, "e.g."), (1, "forest"), (1, "rain"), (3, "sea")]
 
 
+def test_fusion_has_dense_scores_of_all_documents(spark):
+    from loomwork.plans.text import _all_fused
+
+    e = spark.createDataFrame([(0, [1.0, 0.0])] + [(i, [1.0, 0.001 * i]) for i in range(1, 81)], "vec_id long, embedding array<double>")
+    sparse = spark.createDataFrame([(0, 80, 0.5), (0, 200, 0.4)], "qid long, did long, score double")
+    got = {r.did: r.score for r in _all_fused(e, sparse).collect()}
+    assert len(got) == 81 and got[200] == pytest.approx(0.12) and got[80] == pytest.approx(0.7 / math.hypot(1, 0.08) + 0.15, abs=2e-6)
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs/a.b.json").write_text('[{"page_number": 1, "page_width": 100.0, "top": 10.9, "left": 1.0, "width": 5.0, "height": 2.0, "type": "Text", "text": "t"}]')
