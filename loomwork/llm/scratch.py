@@ -7,13 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests), a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by ``spark.checkpoint.dir``.  Where that is unset, a folder of our own, in local mode only."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='loomwork-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if context.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='loomwork-')}"
+        folder = _local[context.applicationId]
     return folder.rstrip("/")
 
 
@@ -27,3 +33,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ours that nothing will read any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """The intermediate tables of one call, so that each can be deleted after its last reader."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df``; a table that had this name goes once the new one is written."""
+        path, old = fresh_path(self.spark, name), self.paths.get(name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        if old:
+            removed(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if name in self.paths:
+                removed(self.spark, self.paths.pop(name))

@@ -104,22 +104,53 @@ def test_jaccard_with_combinations_of_frequent_tokens(spark):
         for _ in range(r.randint(0, 9)):
             w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
-    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(X.table(spark, rows), 4, 85, 100, frequent_level=2, sketch_bits=16).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(X.table(spark, rows), 4, 85, 100, rare_level=2, triple_level=4, sketch_bits=16).collect()}
     assert got == X.components(rows, 4, 85, 100)
 
 
 def test_prefixes_of_linked_sets_share_an_entry():
     r = np.random.default_rng(2)
-    for _ in range(300):
-        n = int(r.integers(2, 300))
-        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+    linked = 0
+    for k in range(600):
+        num = (85, 80, 60)[k % 3]
+        a = np.unique(r.integers(0, 2**63, int(r.integers(1, 300 if k % 2 else 12))).astype(np.uint64))
         keep = a[r.random(len(a)) > 0.06]
         b = np.unique(np.concatenate((keep, r.integers(0, 2**63, int(r.integers(0, 4))).astype(np.uint64))))
         both = len(np.intersect1d(a, b))
-        if 100 * both < 85 * (len(a) + len(b) - both):
+        if not len(b) or 100 * both < num * (len(a) + len(b) - both):
             continue
-        often = lambda s: np.where(s % np.uint64(3) == 0, 1.0, 4096.0)
-        assert np.intersect1d(ngram_join.signatures(a, often(a), 85, 100, 10)[0], ngram_join.signatures(b, often(b), 85, 100, 10)[0]).size
+        linked += 1
+        for often in (lambda s: s % np.uint64(3) * 6, lambda s: s % np.uint64(2) * 11, lambda s: s * np.uint64(0) + np.uint64(12)):
+            entries = [ngram_join.signatures(s, often(s).astype(np.int8), num, 100)[0] for s in (a, b)]
+            assert np.array_equal(a, b) or np.intersect1d(*entries).size
+    assert linked > 200
+
+
+def test_parity_bitmaps_never_exceed_the_difference():
+    r = np.random.default_rng(3)
+    for _ in range(100):
+        texts = [" ".join(f"w{x}" for x in r.integers(0, 60, int(r.integers(4, 400)))).encode() for _ in range(2)]
+        sets = ngram_join.TokenSets(texts, 2)
+        x, y = (ngram_join.parity(m) for m in sets.bitmaps())
+        assert ngram_join.least_difference(x, y) <= len(np.setxor1d(sets[0], sets[1]))
+
+
+def test_long_entries_in_chunks_and_blocks(spark, monkeypatch):
+    """Groups without a hub, entries dealt to many chunks, pairs that only blocks can find."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "_SHORT", 4)
+    monkeypatch.setattr(ngram_join, "_CHUNK", 8)
+    r = random.Random(7)
+    rows = []
+    for g in range(4):
+        w = [f"g{g}w{k}" for k in range(120)]
+        for i in range(40):
+            w = list(w)
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(w)))
+    got = {x.doc_id: x.component_id for x in ngram_join.jaccard_components(X.table(spark, rows), 4, 85, 100, rare_level=2, triple_level=4, sketch_bits=16).collect()}
+    assert got == X.components(rows, 4, 85, 100) and len(set(got.values())) < 160
 
 
 def test_texts_of_one_id_are_verified_each_with_its_own(spark):
