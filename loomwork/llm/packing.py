@@ -1,25 +1,34 @@
 """Hierarchical multi-length packing of token ids into training sequences.
 
-Documents are routed to tiers of context sizes (powers of two up to the longest), every tier is packed by itself, and
-gaps of long windows are filled from shorter tiers.  Whole windows of the longest tier are cut from a document first;
-what remains goes to the tier whose window just holds it.  A long window that a remainder leaves partly open takes the
-largest waiting piece that fits, from the next shorter tiers downwards; when nothing fits, a waiting piece is cut.
-At the end of a task the last windows are cut at powers of two, so that nothing is padded.
+*Routing.*  Tiers are context sizes, powers of two up to the longest.  Whole windows of the longest tier are cut from a
+document first; what remains, or the whole of a shorter document, waits in the tier whose window just holds it.
 
-Every task packs its own documents, so no shuffle is needed, and memory holds the ids of one batch of documents plus
-at most one open window per tier.  ``sequence_id`` is the task's number and a counter, the same when a task is run
-again.  A task deals its sequences to its step groups back and forth, so that the groups hold about as many tokens each.
+*Packing.*  When many pieces wait in a tier, the tier is packed into windows of its own size.  A window begins with the
+longest piece of its tier; the gap that this leaves takes the largest waiting piece that fits, from the tier itself and then
+from the shorter ones; when nothing fits, a waiting piece is cut, and what is left of it waits in the tier of its new
+length.  So windows are full, and at the end of a task the last pieces are cut at powers of two: nothing is padded.
+
+*Step groups.*  A step holds windows of one tier.  The windows of a tier are dealt out in rounds, one to each of ``groups`` open
+groups: of a round the window with the greatest attention cost (sum of squared lengths of its pieces) goes to the group with the
+least so far.  A set of groups is closed when each holds ``step_tokens``.  Hence the groups of a set have equally many
+tokens, and their costs differ by no more than the windows of one round do.
+
+Every task packs its own documents, so no shuffle is needed; memory holds the ids of a batch of documents, a bounded
+number of waiting pieces per tier and one round of windows.  ``sequence_id`` is the task's number and a counter, the same when a
+task is run again.
 
 Defined results: a null text is empty and yields the end id alone; a null id is kept as null; repeated rows are packed
-once each; an empty table yields no piece; columns other than the id and the text are ignored.
+once each; a very long text is encoded at once and cut into windows; an empty table yields no piece; columns other than the id
+and the text are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right, insort
-from collections.abc import Callable, Iterable, Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -127,14 +136,14 @@ Piece = tuple[object, int, bytes, int]  # document, start, ids, tokens of the do
 
 
 class Packer:
-    """Packs pieces into windows of ``longest`` ids.  ``emit`` gets the pieces of a sequence and its tier."""
+    """Packs pieces into windows of the tiers' sizes.  ``emit`` gets the pieces of a window and its tier."""
 
-    def __init__(self, longest: int, emit: Callable[[list[Piece], int], None], shortest: int = 32, waiting: int = 4096):
+    def __init__(self, longest: int, emit: Callable[[list[Piece], int], None], shortest: int = 64, waiting: int = 1024):
         assert longest & (longest - 1) == 0
-        self.longest, self.shortest, self.emit, self.waiting = longest, shortest, emit, waiting
+        self.longest, self.emit, self.waiting = longest, emit, waiting
         self.tiers = [1 << k for k in range(shortest.bit_length() - 1, longest.bit_length())]
         self.pools: dict[int, list[tuple[int, int, Piece]]] = {t: [] for t in self.tiers}
-        self.count, self.held = 0, 0
+        self.count = 0
 
     def add(self, doc: object, ids: bytes, total: int) -> None:
         full = self.longest * 4
@@ -143,57 +152,50 @@ class Packer:
             self.emit([(doc, at // 4, ids[at : at + full], total)], self.longest)
             at += full
         if at < len(ids):
-            self._wait((doc, at // 4, ids[at:], total))
-            if self.held >= self.waiting:
-                self._pack(self.waiting // 2)
+            tier = self._wait((doc, at // 4, ids[at:], total))
+            if len(self.pools[tier]) >= self.waiting:
+                while len(self.pools[tier]) > self.waiting // 2:
+                    self._window(tier)
 
-    def _wait(self, piece: Piece) -> None:
+    def _wait(self, piece: Piece) -> int:
+        """Routes a piece to the tier whose window just holds it."""
         n = len(piece[2]) // 4
-        tier = self.tiers[min(bisect_right(self.tiers, n - 1), len(self.tiers) - 1)]
+        tier = self.tiers[bisect_left(self.tiers, n)]
         self.count += 1
-        self.held += 1
         insort(self.pools[tier], (n, self.count, piece))
+        return tier
 
-    def _take(self, room: int) -> tuple[int, Piece] | None:
+    def _take(self, room: int) -> Piece | None:
         """The largest waiting piece of at most ``room`` ids."""
-        for tier in reversed(self.tiers):
+        for tier in self.tiers[bisect_left(self.tiers, room) :: -1] if room <= self.longest else ():
             pool = self.pools[tier]
             if pool and pool[0][0] <= room:
-                n, _, piece = pool.pop(bisect_right(pool, (room, float("inf"))) - 1)
-                self.held -= 1
-                return n, piece
+                return pool.pop(bisect_right(pool, (room, self.count + 1)) - 1)[2]
         return None
 
     def _cut(self, room: int) -> Piece | None:
-        """The first ``room`` ids of the smallest waiting piece that has more."""
+        """The first ``room`` ids of a waiting piece that has more, of the shortest tier there is."""
         for tier in self.tiers:
             if self.pools[tier]:
                 _, _, (doc, start, ids, total) = self.pools[tier].pop()
-                self.held -= 1
                 self._wait((doc, start + room, ids[room * 4 :], total))
                 return doc, start, ids[: room * 4], total
         return None
 
-    def _pack(self, until: int) -> None:
-        """Packs windows of the longest tier until at most ``until`` pieces wait."""
-        while self.held > until:
-            window, room = [], self.longest
-            while room:
-                if got := self._take(room):
-                    window.append(got[1])
-                    room -= got[0]
-                elif piece := self._cut(room):
-                    window.append(piece)
-                    room = 0
-                else:
-                    break
-            if room:
-                self._tail(window)
-            else:
-                self.emit(window, self.longest)
+    def _window(self, tier: int) -> None:
+        """Packs one window of a tier in which a piece waits."""
+        window = [self.pools[tier].pop()[2]]
+        room = tier - len(window[0][2]) // 4
+        while room and (piece := self._take(room) or self._cut(room)):
+            window.append(piece)
+            room -= len(piece[2]) // 4
+        if room:
+            self._tail(window)
+        else:
+            self.emit(window, tier)
 
     def _tail(self, window: list[Piece]) -> None:
-        """Pieces that don't fill a window, cut into windows of the shorter tiers, then of powers of two."""
+        """Pieces that don't fill a window, cut into windows of powers of two."""
         total = sum(len(p[2]) for p in window) // 4
         while total:
             size = 1 << (total.bit_length() - 1)
@@ -211,10 +213,51 @@ class Packer:
             total -= size
 
     def close(self) -> None:
-        self._pack(0)
+        for tier in reversed(self.tiers):
+            while self.pools[tier]:
+                self._window(tier)
+
+
+def cost(window: list[Piece]) -> int:
+    """Attention within the pieces of a window: the sum of their squared lengths."""
+    return sum((len(p[2]) // 4) ** 2 for p in window)
+
+
+class StepGroups:
+    """Deals windows of each tier to step groups.  ``emit`` gets the window, its tier and the number of its group."""
+
+    def __init__(self, emit: Callable[[list[Piece], int, int], None], groups: int, step_tokens: int):
+        self.emit, self.groups, self.step_tokens = emit, max(1, groups), step_tokens
+        self.rounds: dict[int, list[list[Piece]]] = {}
+        self.loads: dict[int, list[list[int]]] = {}  # of each tier: cost, number and windows of its open groups
+        self.count = 0
+
+    def add(self, window: list[Piece], tier: int) -> None:
+        waiting = self.rounds.setdefault(tier, [])
+        waiting.append(window)
+        if len(waiting) == self.groups:
+            self._deal(tier)
+
+    def _deal(self, tier: int) -> None:
+        if not self.loads.get(tier):
+            self.loads[tier] = [[0, self.count + k, 0] for k in range(self.groups)]
+            self.count += self.groups
+        open_groups = sorted(self.loads[tier])
+        for group, window in zip(open_groups, sorted(self.rounds[tier], key=cost, reverse=True), strict=False):
+            group[0] += cost(window)
+            group[2] += 1
+            self.emit(window, tier, group[1])
+        self.rounds[tier] = []
+        if max(g[2] for g in open_groups) * tier >= self.step_tokens:
+            self.loads[tier] = []
+
+    def close(self) -> None:
+        for tier in sorted(self.rounds):
+            if self.rounds[tier]:
+                self._deal(tier)
 
 
-def pack_documents(docs: DataFrame, longest: int = 1024, group: int = 64, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, longest: int = 1024, groups: int = 8, step_tokens: int = 65536, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """Pieces of all documents: ids by the tokenizer, then id 0, in sequences of at most ``longest`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,32 +267,29 @@ def pack_documents(docs: DataFrame, longest: int = 1024, group: int = 64, tokeni
         task = TaskContext.get().partitionId() << 32
         zero = bytes(4)
         out: list[list[int]] = []
-        state = {"sequences": 0, "up": True, "in_round": 0}
-        groups = max(1, group)
-
-        def emit(pieces: list[Piece], tier: int) -> None:
-            k = state["sequences"]
-            turn, place = divmod(k, groups)
-            step = place if turn % 2 == 0 else groups - 1 - place
-            offset = 0
+        sequences = count()
+
+        def emit(pieces: list[Piece], tier: int, group: int) -> None:
+            number, offset = task + next(sequences), 0
             for doc, start, ids, total in pieces:
                 n = len(ids) // 4
-                out.append([doc, start, n, zlib.crc32(ids), total, task + k, offset, tier, task + step])
+                out.append([doc, start, n, zlib.crc32(ids), total, number, offset, tier, task + group])
                 offset += n
-            state["sequences"] = k + 1
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
 
-        packer = Packer(longest, emit)
+        steps = StepGroups(emit, groups, step_tokens)
+        packer = Packer(longest, steps.add)
         for doc, text in rows(batches, "doc_id", "text"):
             ids = encode(text) + zero
             packer.add(doc, ids, len(ids) // 4)
             if len(out) > 20_000:
                 yield flush()
         packer.close()
+        steps.close()
         if out:
             yield flush()
 

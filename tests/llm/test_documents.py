@@ -272,6 +272,46 @@ def test_packing_is_exact_and_without_padding(spark):
     assert packing.pack_documents(X.table(spark, [])).count() == 0
 
 
+def test_tiers_are_packed_each_and_steps_are_balanced():
+    import random
+
+    r = random.Random(4)
+    out = []
+    steps = packing.StepGroups(lambda pieces, tier, group: out.append((tier, group, pieces)), 8, 8192)
+    packer = packing.Packer(1024, steps.add, waiting=64)
+    total = 0
+    for doc in range(4000):
+        n = int(2 ** r.uniform(0, 11.5))
+        total += n
+        packer.add(doc, bytes(4 * n), n)
+    packer.close()
+    steps.close()
+    assert sum(len(p[2]) // 4 for _, _, w in out for p in w) == total
+    tiers = Counter(t for t, _, _ in out)
+    assert all(tiers[t] > 20 for t in (64, 128, 256, 512, 1024)) and all(sum(len(p[2]) // 4 for p in w) == t for t, _, w in out)
+    # gaps of long windows hold pieces that were routed to shorter tiers
+    assert any(t == 1024 and len(w) > 1 and min(len(p[2]) // 4 for p in w) <= 256 for t, _, w in out)
+    groups = defaultdict(list)
+    for t, g, w in out:
+        groups[t, g // 8].append((g, packing.cost(w)))
+    for (t, _), own in groups.items():
+        counts, costs = Counter(g for g, _ in own), Counter()
+        for g, c in own:
+            costs[g] += c
+        assert max(counts.values()) - min(counts.get(g, 0) for g in counts) <= 1
+        if len(set(counts.values())) == 1 and len(counts) == 8:
+            spread = max(c for _, c in own) - min(c for _, c in own)
+            assert max(costs.values()) - min(costs.values()) <= spread
+
+
+def test_packed_ids_equal_the_library_over_a_whole_table():
+    import pyarrow.parquet as pq
+
+    t, e = library("byte_bpe_50k.json"), packing.byte_encoder()
+    for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert np.frombuffer(e((x or "").encode()), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids
+
+
 def test_byte_encoder_equals_the_library():
     t, e = library("byte_bpe_50k.json"), packing.byte_encoder()
     for x in ["", " ", "a  b\n\n c ", " lead", "tail ", "it's  don't\tx", "a b  c　d", "x <|endoftext|>y", "\x1ca b\x85c d"]:
