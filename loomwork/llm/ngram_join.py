@@ -49,6 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.arrow import rows
+from loomwork.llm.bloom import Bloom
 from loomwork.llm.scratch import Scratch
 from loomwork.llm.wordhash import Words, batches, mix, ngrams, pair
 
@@ -569,31 +570,22 @@ class Join:
 
         return _met(pairs, nodes.select("node", F.col("bitmap").alias("load")), lambda loads: [parity(x) for x in loads], judge)
 
-    def _bloom(self, wanted: DataFrame) -> np.ndarray:
-        """Bits of the wanted rows' slots: of fixed size, 4 MB."""
-        parts = wanted.groupBy(F.expr("cast(slot div 32768 as int)").alias("part")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits"))
-        out = np.zeros(1 << (_BLOOM_BITS - 3), np.uint8)
-        for r in parts.collect():
-            out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-        return out
-
     def texts(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, load) with the compressed text of each node of ``pairs``.  A filter of fixed size keeps most texts that
         are not wanted from crossing the network."""
-        slot = F.pmod(F.xxhash64("doc", "key"), F.lit(1 << _BLOOM_BITS)).alias("slot")
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = self.scratch.written(nodes.select("node", "doc", "key").join(ends, "node").select("node", "doc", "key", slot), "wanted")
-        bloom = self.spark.sparkContext.broadcast(self._bloom(wanted))
+        hashed = F.xxhash64("doc", "key").alias("hash")
+        wanted = self.scratch.written(nodes.select("node", "doc", "key").join(ends, "node").select("node", "doc", "key", hashed), "wanted")
+        bloom = Bloom(wanted, "hash", _BLOOM_BITS)
 
         def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pack, bits = zstandard.ZstdCompressor(level=1), bloom.value
+            pack = zstandard.ZstdCompressor(level=1)
             for b in found:
-                at = b.column(3).to_numpy()
-                b = b.take(pa.array(np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)))
+                b = b.filter(pa.array(bloom.has(b.column(3).to_numpy())))
                 if b.num_rows:
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack.compress(t) for (t,) in rows([b], "text")], pa.binary())], names=["doc", "key", "load"])
 
-        sent = self.docs.select("doc", "key", "text", slot).mapInArrow(run, "doc long, key long, load binary")
+        sent = self.docs.select("doc", "key", "text", hashed).mapInArrow(run, "doc long, key long, load binary")
         return self.scratch.written(sent.join(wanted, ["doc", "key"]).dropDuplicates(["node"]).select("node", "load"), "texts")
 
     def links(self, pairs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,8 @@ The windows of ``k`` consecutive words are the edges of a de Bruijn graph whose
    coordinate, number of edges).  There is about one row to nine words.  Equal windows have equal anchors at equal
    offsets, so whatever repeats meets again under its anchor.
 2. *Repeated paths.*  One aggregation by anchor, combined before the shuffle, gives the number of paths, whether all
-   are equal and the first source coordinate.  Paths under an anchor seen once cannot repeat.  Where all paths of an
+   are equal and the first source coordinate.  Paths under an anchor seen once cannot repeat; a filter of fixed size keeps
+   most of them from being sent again.  Where all paths of an
    anchor are equal, the path does not branch: every occurrence but the first repeats the first as a whole.  Where they
    differ, the graph branches; these paths are split into single edges again, which are compared one by one.
 3. *Compaction through joins.*  Paths and edges are joined with their first occurrence and so carry the coordinate of
@@ -17,8 +18,9 @@ The windows of ``k`` consecutive words are the edges of a de Bruijn graph whose
 
 Windows are compared by two 64-bit digests together (anchor and window), coordinates by document id and place.
 
-Hot sequences: the aggregation combines first, the join with its result is one that adaptive execution may split, and
-no group is ever gathered.  Texts cross the network twice, compressed: once for documents with branching paths, once
+Hot sequences: aggregations combine before they shuffle.  Their results are written as tables, so that the joins with them
+have no aggregate on the join key below them: only then may adaptive execution split a hot anchor or edge over tasks.
+No group is ever gathered.  Texts cross the network twice, compressed: once for documents with branching paths, once
 for the result.
 
 Defined results: a null text has no words; documents shorter than ``k`` words stay whole; ids that are null come after
@@ -38,10 +40,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.arrow import rows
+from loomwork.llm.bloom import Bloom
 from loomwork.llm.scratch import written
 from loomwork.llm.wordhash import Words, batches, ngrams, pair
 
 LAST_ID = 2**63 - 1
+_BLOOM_BITS = 27
 _U = np.uint64
 
 
@@ -105,13 +109,17 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(_U).view(np.int64)
 
 
-def _paths_of(docs: DataFrame, k: int, m: int, with_digest: bool) -> DataFrame:
+def _paths_of(docs: DataFrame, k: int, m: int, with_digest: bool, among: Bloom | None = None) -> DataFrame:
+    """The paths of all documents, of those alone whose anchor may be ``among`` the wanted ones."""
     schema = "anchor long, doc long, start int, edges int" + ", path long" * with_digest
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in batches(rows(parts, "doc", "text"), lambda r: len(r[1])):
             w = Windows([r[1] for r in some], k, m)
             first, size, anchor, digest = w.paths()
+            if among and len(first):
+                wanted = among.has(_signed(anchor))
+                first, size, anchor, digest = first[wanted], size[wanted], anchor[wanted], digest[wanted]
             if not len(first):
                 continue
             ids = np.fromiter((r[0] for r in some), np.int64, len(some))
@@ -155,21 +163,22 @@ def repeated_pieces(docs: DataFrame, k: int = 20, m: int = 5) -> DataFrame:
     """Pieces (doc, start, edges) that repeat an earlier sequence, with its coordinate (source_doc, source_start)."""
     coordinates = Coordinates(docs)
     at = coordinates.pack()
-    seen = (
+    seen = written(
         _paths_of(docs, k, m, True)
         .groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("low"), F.max("path").alias("high"), F.min(at).alias("source"))
         .where("n > 1")
-        .select("anchor", (F.col("low") == F.col("high")).alias("pure"), "source")
+        .select("anchor", (F.col("low") == F.col("high")).alias("pure"), "source"),
+        "anchors",
     )
     found = written(
-        _paths_of(docs, k, m, False).join(seen, "anchor").select("anchor", "doc", "start", "edges", "pure", "source").where(~F.col("pure") | (at != F.col("source"))),
+        _paths_of(docs, k, m, False, Bloom(seen, "anchor", _BLOOM_BITS)).join(seen, "anchor").select("anchor", "doc", "start", "edges", "pure", "source").where(~F.col("pure") | (at != F.col("source"))),
         "paths",
     )
     pure = found.where("pure").select("doc", "start", "edges", coordinates.doc("source").alias("source_doc"), coordinates.start("source").alias("source_start"))
     branching = found.where("not pure").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "edges"))).alias("places"))
-    edges = _edges(_compressed(docs).join(branching, "doc"), k, m)
-    first = edges.groupBy("edge", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("source")).where("n > 1").drop("n")
+    edges = _edges(written(_compressed(docs).join(branching, "doc").select("doc", "packed", "places"), "branching"), k, m)
+    first = written(edges.groupBy("edge", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("source")).where("n > 1").drop("n"), "edges")
     single = (
         edges.join(first, ["edge", "anchor"])
         .where(at != F.col("source"))
