@@ -30,6 +30,8 @@ import struct
 import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -75,48 +77,78 @@ def capture_key(url: bytes | str | None, record: int | None) -> bytes:
     return f"{reversed_host_key(url)} {number}".encode()
 
 
-def record_bytes(record: int | None, url: bytes, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
-    """One WARC record, compressed as a gzip member."""
-    body = b"" if is_revisit else payload
+@dataclass(frozen=True)
+class Capture:
+    """What a record says of a page; ``refers_to`` and ``refers_url`` name the response that a revisit repeats."""
+
+    page: int | None
+    url: bytes
+    payload: bytes
+    digest: str
+    refers_to: int | None = None
+    refers_url: bytes = b""
+
+
+def _one_line(value: bytes) -> bytes:
+    return value.replace(b"\r", b"%0D").replace(b"\n", b"%0A")
+
+
+def record_bytes(capture: Capture, record_id: uuid.UUID, date: str) -> bytes:
+    """One WARC record, compressed as a gzip member: an HTTP response, of which a revisit holds the head only."""
+    revisit = capture.refers_to is not None
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(capture.payload)
+    block = http if revisit else http + capture.payload
     head = [
         b"WARC/1.1",
-        b"WARC-Type: " + (b"revisit" if is_revisit else b"response"),
-        b"WARC-Record-ID: <urn:page:%s>" % (b"-" if record is None else b"%d" % record),
-        b"WARC-Target-URI: " + url.replace(b"\r", b"%0D").replace(b"\n", b"%0A"),
-        b"WARC-Payload-Digest: sha1:" + digest.encode(),
-        b"X-Payload-Length: %d" % len(payload),
+        b"WARC-Type: " + (b"revisit" if revisit else b"response"),
+        b"WARC-Record-ID: <urn:uuid:%s>" % str(record_id).encode(),
+        b"WARC-Date: " + date.encode(),
+        b"WARC-Target-URI: " + _one_line(capture.url),
+        b"WARC-Payload-Digest: sha1:" + capture.digest.encode(),
+        b"Content-Type: application/http; msgtype=response",
+        b"X-Page-Id: " + (b"-" if capture.page is None else b"%d" % capture.page),
+        b"X-Payload-Length: %d" % len(capture.payload),
     ]
-    if is_revisit:
-        head += [b"WARC-Refers-To: <urn:page:%d>" % refers_to, b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    head.append(b"Content-Length: %d" % len(body))
-    return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + body + b"\r\n\r\n", compresslevel=4, mtime=0)
+    if revisit:
+        head += [
+            b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            b"WARC-Refers-To-Target-URI: " + _one_line(capture.refers_url),
+            b"WARC-Refers-To-Date: " + date.encode(),
+            b"X-Refers-To-Page-Id: %d" % capture.refers_to,
+        ]
+    head.append(b"Content-Length: %d" % len(block))
+    return gzip.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n", compresslevel=4, mtime=0)
 
 
 def parse_record(packed: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and body of a compressed record."""
+    """Header fields and payload of a compressed record."""
     raw = gzip.decompress(packed)
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.decode().split(": ", 1) for line in head.split(b"\r\n")[1:])
-    body = rest[: int(fields["Content-Length"])]
-    return fields, body
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataFrame:
-    """Writes all pages; returns the capture lines (key, archive, offset, length)."""
+def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, date: str | None = None) -> DataFrame:
+    """Writes all pages; returns the capture lines (key, archive, offset, length).  ``date`` is that of the captures; now, if none.
+
+    The responses of repeated payloads are a table of their own, without payloads.  Joined with it, a group of equal pages
+    may be split over tasks, and while the table is small no page crosses the network.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     source = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumn("digest", F.unhex(F.sha2("html", 256)))
-    groups = source.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("response"))
-    several = groups.where("copies > 1 and response is not null").select("digest", "response")
+    groups = source.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.max("page_id").alias("response"), F.max_by("url", "page_id").alias("response_url"))
+    several = written(groups.where("copies > 1 and response is not null").select("digest", "response", "response_url"), "responses")
     known = source.join(several, "digest", "left")
     revisits = F.coalesce(F.col("response") != F.col("page_id"), F.col("response").isNotNull()) & (F.octet_length("html") >= min_revisit)
-    known = known.select("page_id", "url", "html", F.when(revisits, F.col("response")).alias("refers_to"))
+    known = known.select("page_id", "url", "html", F.when(revisits, F.col("response")).alias("refers_to"), "response_url")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,8 +160,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0) -> DataF
         lines: list[tuple[bytes, int, int]] = []
         at = 0
         with store.open_output_stream(temporary, compression=None) as f:
-            for page, url, html, refers in rows(parts, "page_id", "url", "html", "refers_to"):
-                packed = record_bytes(page, url, html, sha1_base32(html), refers, refers is not None)
+            for page, url, html, refers, refers_url in rows(parts, "page_id", "url", "html", "refers_to", "response_url"):
+                capture = Capture(page, url, html, sha1_base32(html), refers, refers_url)
+                packed = record_bytes(capture, uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{at}"), date)
                 f.write(packed)
                 lines.append((capture_key(url, page), at, len(packed)))
                 at += len(packed)
@@ -191,14 +224,20 @@ class CaptureIndex:
         end = self.file.size()
         self.entries_at, self.count = TAIL.unpack(self.file.read_at(TAIL.size, end - TAIL.size))
         self.reads = 0
+        self.known: dict[int, tuple[int, int, bytes]] = {}
         self.block = -1
         self.lines: list[bytes] = []
         self.keys: list[bytes] = []
 
     def _entry(self, k: int) -> tuple[int, int, bytes]:
-        at, size, key_at, key_size = ENTRY.unpack(self.file.read_at(ENTRY.size, self.entries_at + k * ENTRY.size))
-        self.reads += 1
-        return at, size, bytes(self.file.read_at(key_size, key_at))
+        """An entry of the directory.  The latest ones are kept: the upper steps of every search visit the same few."""
+        if k not in self.known:
+            if len(self.known) >= 4096:
+                self.known.pop(next(iter(self.known)))
+            at, size, key_at, key_size = ENTRY.unpack(self.file.read_at(ENTRY.size, self.entries_at + k * ENTRY.size))
+            self.known[k] = at, size, bytes(self.file.read_at(key_size, key_at))
+            self.reads += 1
+        return self.known[k]
 
     def block_of(self, key: bytes) -> int:
         """The last block whose first key is smaller than the key or equal to it; 0 if none is."""
@@ -287,7 +326,7 @@ def build_index(captures: DataFrame, folder: str, limits: list[bytes], lines_per
         columns = list(zip(*out, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["shard", "file", "lines"])
 
-    ordered = _ranged(captures, limits).repartition(len(limits) + 1, "shard").sortWithinPartitions("shard", "key")
+    ordered = _ranged(captures, limits).repartitionById(len(limits) + 1, "shard").sortWithinPartitions("shard", "key")
     return written(ordered.mapInArrow(run, "shard int, file string, lines long"), "index")
 
 
@@ -314,17 +353,16 @@ def look_up(wanted: DataFrame, index: DataFrame, folder: str, limits: list[bytes
                         archives[archive] = store.open_input_file(f"{base}/{archive.decode()}")
                     fields, body = parse_record(archives[archive].read_at(int(length), int(offset)))
                     kind = fields["WARC-Type"]
-                    number = fields["WARC-Record-ID"][10:-1]
-                    refers = fields.get("WARC-Refers-To")
+                    number, refers = fields["X-Page-Id"], fields.get("X-Refers-To-Page-Id")
                     size, digest = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response":
                         size, digest = len(body), sha1_base32(body)
-                    out.append((None if number == "-" else int(number), fields["WARC-Target-URI"], size, digest, kind, int(refers[10:-1]) if refers else None))
+                    out.append((None if number == "-" else int(number), fields["WARC-Target-URI"], size, digest, kind, int(refers) if refers else None))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 
-    ordered = _ranged(wanted, limits).repartition(len(limits) + 1, "shard").sortWithinPartitions("shard", "key")
+    ordered = _ranged(wanted, limits).repartitionById(len(limits) + 1, "shard").sortWithinPartitions("shard", "key")
     return ordered.select("shard", "key").mapInArrow(run, RECORD)
 
 
