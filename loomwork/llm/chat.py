@@ -11,7 +11,8 @@ The rendered text and its loss mask (spans of assistant texts, in code points) c
 Conversations are dealt out by a hash of their id and sorted within a task; the fold holds one conversation at a time.
 
 Defined results: null texts and roles are empty; events without a conversation form one conversation whose id is null;
-events that share a sequence number are taken in the order of kind, message, role and text; an event for a message that
+events that share a sequence number are taken in the order of kind, message, role and text, and an event that is delivered
+twice, with an equal sequence number and content, counts once; an event for a message that
 was never started opens it with an empty role; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -116,15 +117,18 @@ def format_conversations(events: DataFrame) -> DataFrame:
             out.append((conv, formatted, [{"start": a, "end": b} for a, b in mask]))
 
         held: list[tuple] | None = None
-        key = None
+        key = before = None
         for b in batches:
-            for conv, kind, message, role, text in zip(*[b.column(c).to_pylist() for c in ("conv_id", "kind", "message", "role", "text")], strict=True):
+            for event in zip(*[b.column(c).to_pylist() for c in ("conv_id", "seq", "kind", "message", "role", "text")], strict=True):
+                conv, seq, kind, message, role, text = event
                 if held is not None and conv != key:
                     close(key, held)
                     held = None
                     if len(out) >= 500:
                         yield flush()
-                key = conv
+                if seq is not None and event == before:
+                    continue
+                key, before = conv, event
                 held = [] if held is None else held
                 held.append((kind, message, role or "", text or ""))
         if held is not None:
