@@ -67,35 +67,42 @@ def likeness(one: str, two: str) -> Column:
             power(try_divide(size(filter(ps, p -> p.col1 = p.col2)), size(ps)), try_divide(1.0D, greatest(1.0D, try_divide({count}, 2.0D * size(ps))))))[0], 0.0D) end""").cast("double")
 
 
+def _long(x: int | None) -> str:
+    return "bigint(null)" if x is None else f"bigint('{x}')"
+
+
+def _range_of(order: str, limits: list[int]) -> Column:
+    """Number of limits up to the value, found in two steps: among every ``step``-th of them, then between two of these."""
+    if not limits:
+        return F.lit(0)
+    step = max(1, int(len(limits) ** 0.5))
+    value = f"`{order}`"
+    coarse = f"array({', '.join(_long(x) for x in limits[step - 1 :: step])})" if len(limits) >= step else "cast(array() as array<bigint>)"
+    parts = ", ".join(f"array({', '.join(_long(x) for x in limits[a : a + step])})" for a in range(0, len(limits), step))
+    return F.expr(f"""coalesce(element_at(transform(array(size(filter({coarse}, b -> b <= {value}))),
+        k -> k * {step} + coalesce(size(filter(try_element_at(array({parts}), k + 1), b -> b <= {value})), 0)), 1), 0)""").cast("int")
+
+
 def with_next(docs: DataFrame, columns: dict[str, str], order: str = "doc_id", tie: str = "text") -> DataFrame:
     """Adds to each row values of the row that follows it by (order, tie); the first follows the last.
 
     ``columns`` maps new names to columns of the following row.
     """
     spark = docs.sparkSession
-    ranges = max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     points = [k / ranges for k in range(1, ranges)] or [0.5]
-    limits = docs.agg(F.percentile_approx(order, points, 10000).alias("p")).first().p or []
-    limits = sorted(set(limits))
-    bounds = F.array(*[F.lit(x) for x in limits]) if limits else F.array().cast("array<long>")
-    place = F.size(F.filter(bounds, lambda b: b <= F.col(order))).alias("range") if limits else F.lit(0).alias("range")
+    limits = sorted(set(docs.agg(F.percentile_approx(order, points, max(10000, 10 * ranges)).alias("p")).first().p or []))
+    place = _range_of(order, limits).alias("range")
     ranged = docs.select("*", place)
     # of each range the first id: as many rows as there are ranges
     firsts = {r["range"]: r.first for r in docs.select(place, order).groupBy("range").agg(F.min(F.struct(F.col(order).isNotNull().alias("known"), order))[order].alias("first")).collect()}
     used = sorted(firsts)
     before = {firsts[k]: used[i - 1] for i, k in enumerate(used)}  # the first of all goes to the last range
-    wanted = [x for x in before if x is not None]
-    heads = docs.where(F.col(order).isin(wanted) | (F.col(order).isNull() if None in before else F.lit(False)))
+    values = ", ".join(f"({_long(x)}, {k})" for x, k in before.items()) or "(bigint(null), 0)"
+    targets = spark.sql(f"SELECT a AS _first, b AS range FROM VALUES {values} AS t(a, b)")  # a row a range
+    heads = docs.join(F.broadcast(targets), F.col(order).eqNullSafe(F.col("_first"))).drop("_first")
     first_row = Window.partitionBy(order).orderBy(F.col(tie).asc_nulls_first())
     heads = heads.withColumn("_k", F.row_number().over(first_row)).where("_k = 1").drop("_k")
-    target = F.lit(None).cast("int")
-    for value, k in before.items():
-        target = F.when(F.col(order).isNull() if value is None else F.col(order) == F.lit(value), F.lit(k)).otherwise(target)
-    if len(before) > 64:
-        target = F.try_element_at(F.create_map(*[F.lit(x) for kv in before.items() if kv[0] is not None for x in kv]), F.col(order))
-        if None in before:
-            target = F.when(F.col(order).isNull(), F.lit(before[None])).otherwise(target)
-    heads = heads.withColumn("range", target)
     both = ranged.withColumn("_head", F.lit(0)).unionByName(heads.withColumn("_head", F.lit(1)))
     ahead = Window.partitionBy("range").orderBy("_head", F.col(order).asc_nulls_first(), F.col(tie).asc_nulls_first())
     return both.select("*", *[F.lead(c).over(ahead).alias(n) for n, c in columns.items()]).where("_head = 0").drop("_head", "range")
