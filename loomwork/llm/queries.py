@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -47,14 +49,14 @@ def op7_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json")
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", oracles.SUBSTRINGS)
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.substring_dedup import deduplicate_substrings
 
     return deduplicate_substrings(table(spark, sf_dir, "documents"), k=20)
 
 
-@query("op4_ngram_jaccard")
+@query("op4_ngram_jaccard", oracles.JACCARD)
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.ngram_join import jaccard_components
 
@@ -68,7 +70,7 @@ def op5_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-@query("op9_quality_cascade")
+@query("op9_quality_cascade", oracles.QUALITY)
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.quality import judge_documents
 
@@ -82,7 +84,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-@query("op6_chat_format")
+@query("op6_chat_format", oracles.CHAT)
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.chat import events_of_turns, format_conversations, read_back
 
@@ -92,7 +94,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(events_of_turns(turns)))
 
 
-@query("op3_warc_capture_index")
+@query("op3_warc_capture_index", oracles.WARC)
 def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.warc import archive_and_read
 
