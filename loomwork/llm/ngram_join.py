@@ -470,31 +470,47 @@ def forest(i: np.ndarray, j: np.ndarray, component: np.ndarray, distance: np.nda
     return np.array(taken, np.int64)
 
 
-def _long_pairs(named: DataFrame, nodes: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
+def _blocks(long_rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(one, two) of block keys whose nodes are to be compared, and (key, node) of the keys.
+
+    A block holds the nodes of one chunk.  Entries of near copies have much the same nodes: where all nodes under a
+    leader are at most twice those of its largest chunk, its chunks are one block, which holds every pair of each of them.
+    """
+    under = long_rows.groupBy("leader", "node").agg(F.max("members").alias("members"))
+    size = scratch.written(under.groupBy("leader").agg(F.count(F.lit(1)).alias("nodes"), F.max("members").alias("largest")).where("nodes <= 2 * largest").select("leader", F.lit(True).alias("merged")), "leaders")
+    own = F.col("chunk").bitwiseAND(F.lit(0xFFFF))
+    keyed = long_rows.join(size, "leader", "left").select("entry", own.alias("own"), F.when(F.col("merged"), F.col("leader")).otherwise(F.xxhash64("entry", own)).alias("key"), "node")
+    keyed = scratch.written(keyed.groupBy("entry", "own", "key", "node").agg(F.lit(1).alias("one")).drop("one"), "keyed")
+    chunks = keyed.groupBy("entry", "own", "key").agg(F.lit(1).alias("one")).drop("one")
+    other = chunks.select("entry", F.col("own").alias("next"), F.col("key").alias("two"))
+    cross = chunks.join(other, "entry").where("own <= next").select(F.least("key", "two").alias("one"), F.greatest("key", "two").alias("two")).distinct()
+    out = scratch.written(cross, "cross"), scratch.written(keyed.select("key", "node").distinct(), "members")
+    scratch.drop("keyed", "leaders")
+    return out
+
+
+def _long_pairs(cross: DataFrame, members: DataFrame, component: DataFrame, nodes: DataFrame, num: int, den: int, nearest: bool) -> DataFrame:
     """Candidates (a, b) across components of long entries: all of them, or of each block a forest of the nearest."""
-    ends = named.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("entry")
-    chunks, own = F.shiftright("chunk", 16), F.col("chunk").bitwiseAND(F.lit(0xFFFF))
-    dealt = (
-        named.join(ends, "entry", "left_semi")
-        .select("entry", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-        .select("entry", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component")
-        .join(nodes.select("node", "bitmap"), "node")
-    )
+    named = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    one = ends.select(F.col("key").alias("one"), "low", "high")
+    two = ends.select(F.col("key").alias("two"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    wanted = cross.join(one, "one").join(two, "two").where("least(low, low2) <> greatest(high, high2)").select("one", "two")
+    sides = wanted.select("one", "two", F.lit(0).alias("side"), F.col("one").alias("key")).unionByName(wanted.where("one <> two").select("one", "two", F.lit(1).alias("side"), F.col("two").alias("key")))
+    dealt = sides.join(named, "key").select("one", "two", "side", "node", "component").join(nodes.select("node", "bitmap"), "node")
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(found, ("entry", "low", "high")):
-            entry, low, high, node, component, side = _columns(table, "entry", "low", "high", "node", "component", "side")
-            first = _starts(entry, low, high).tolist()
+        for table in whole_groups(found, ("one", "two")):
+            one, two, node, component, side = _columns(table, "one", "two", "node", "component", "side")
+            first = _starts(one, two).tolist()
             bitmaps = table.column("bitmap").to_pylist()
-            for a, b in zip(first, [*first[1:], len(entry)], strict=True):
-                if low[a] != high[a] and not (side[a:b] != side[a]).any():
-                    continue
+            for a, b in zip(first, [*first[1:], len(one)], strict=True):
                 block = Block(node[a:b], component[a:b], side[a:b], bitmaps[a:b])
                 for i, j, differ in _kept(block, num, den, nearest):
                     x, y = block.node[i], block.node[j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    return dealt.repartition("entry", "low", "high").sortWithinPartitions("entry", "low", "high").mapInArrow(run, "a long, b long")
+    return dealt.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(run, "a long, b long")
 
 
 def _kept(block: Block, num: int, den: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -645,14 +661,14 @@ def jaccard_components(
 
     long_entry = F.expr(f"members > {_SHORT} or shiftright(chunk, 16) > 1")
     short = _short_pairs(index.where(~long_entry).select("entry", "node", "packed"), num, den)
-    long_rows = scratch.written(index.where(long_entry).select("entry", "chunk", "node", "leader"), "long")
+    long_rows = scratch.written(index.where(long_entry).select("entry", "chunk", "node", "leader", "members"), "long")
     best = long_rows.where("leader <> node").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times")).groupBy("node").agg(F.max_by("leader", F.struct("times", "leader")).alias("leader"))
     stars = best.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
     found = found.unionByName(join.links(scratch.written(short.unionByName(stars).distinct(), "pairs"), nodes, "by_pairs"))
     component = connected_components(found, scratch)
+    cross, members = _blocks(long_rows, scratch)
     for nearest in (True, False):
-        named = long_rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = scratch.written(_long_pairs(named, nodes, num, den, nearest).distinct(), "pairs")
+        pairs = scratch.written(_long_pairs(cross, members, component, nodes, num, den, nearest).distinct(), "pairs")
         if pairs.isEmpty():
             break
         more = join.links(pairs, nodes, f"by_blocks_{nearest}")
@@ -664,7 +680,7 @@ def jaccard_components(
     smallest = component.join(first, "node").groupBy("component").agg(F.min("doc").alias("smallest"))
     label = first.join(component.join(smallest, "component").select("node", "smallest"), "node", "left")
     label = scratch.written(label.select("node", F.least("doc", F.coalesce("smallest", "doc")).alias("label")), "labels")
-    scratch.drop("index", "nodes", "long", "pairs", "edges", "names", "shared", "by_pairs", "by_blocks_True", "by_blocks_False")
+    scratch.drop("index", "nodes", "long", "cross", "members", "pairs", "edges", "names", "shared", "by_pairs", "by_blocks_True", "by_blocks_False")
     return known.join(label, "node", "left").select(
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),
