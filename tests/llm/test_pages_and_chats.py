@@ -60,26 +60,76 @@ ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><scrip
 
 
 def test_extract_takes_the_article_only():
-    assert html_template.extract(ARTICLE, set()) == "Head & <line>\n\nBold next\n\nSecond one\n\ni1\n\ni2\n\nLast"
-    assert html_template.extract("", set()) == "" and html_template.extract("plain  text", set()) == "plain text"
-    assert html_template.extract("<p>a<nav>m</nav>b</p><unclosed", set()) == "a\n\nb\n\n<unclosed"
+    assert html_template.extract(ARTICLE) == "Head & <line>\n\nBold next\n\nSecond one\n\ni1\n\ni2\n\nLast"
+    assert html_template.extract("") == "" and html_template.extract("plain  text") == "plain text"
+    assert html_template.extract("<p>a<nav>m</nav>b</p><unclosed") == "a\n\nb\n\n<unclosed"
+
+
+FRAME = "<html><body><div><p>Welcome to our site</p><div><h1>{0}</h1><p>Story {0} and so on</p></div><p>Powered by x</p></div></body></html>"
 
 
 def test_templates_are_deduced_from_same_host_pages(spark):
-    frame = "<html><body><div><p>Welcome to our site</p><div><h1>{0}</h1><p>Story {0}</p></div><p>Powered by x</p></div></body></html>"
-    rows = [(i, f"http://h.example/{i}", frame.format(f"n{i}")) for i in range(6)] + [(10, "http://other.example/", frame.format("z")), (11, None, None)]
+    rows = [(i, f"http://h.example/{i}", FRAME.format(f"n{i}")) for i in range(8)] + [(11, None, None)]
+    got = {r.page_id: r.text for r in html_template.extract_pages(pages(spark, rows)).collect()}
+    assert all(got[i] == f"n{i}\n\nStory n{i} and so on" for i in range(8)) and got[11] == ""
+
+
+def test_the_template_decides_inside_marked_articles_too(spark):
+    """A line that every page of a host repeats in its article goes, whatever its markup; class words in running text stay."""
+    page = "<body><nav>m</nav><main><article><h1>T{0}</h1><p>Share this page</p><p class='related-work'>Prose {0} is long enough to be the text of a page, it goes on.</p><div class='comments'><p>Reader {0}</p></div></article></main><article><p>Teaser</p></article></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(8)]
+    text = "T{0}\n\nProse {0} is long enough to be the text of a page, it goes on."
+    assert {r.page_id: r.text for r in html_template.extract_pages(pages(spark, rows)).collect()} == {i: text.format(i) for i in range(8)}
+    alone = html_template.extract(page.format(3))
+    assert alone == text.format(3).replace("T3", "T3\n\nShare this page")  # one page cannot tell what repeats
+
+
+def test_pages_of_another_layout_are_their_own_host(spark):
+    rows = [(i, "http://h.example/", FRAME.format(f"n{i}")) for i in range(8)] + [(20, "http://h.example/x", "<body><section><h1>Other</h1><p>layout</p></section><footer>f</footer></body>")]
     got = {r.page_id: r.text for r in html_template.extract_pages(pages(spark, rows)).collect()}
-    assert all(got[i] == f"n{i}\n\nStory n{i}" for i in range(6))
-    assert got[10] == "Welcome to our site\n\nz\n\nStory z\n\nPowered by x" and got[11] == ""
+    assert got[20] == "Other\n\nlayout" and got[3] == "n3\n\nStory n3 and so on"
+
+
+def test_equivalence_classes_equal_brute_force(spark):
+    """Containers, excluded elements and repeated texts against whole occurrence vectors of random hosts."""
+    import random
+
+    r = random.Random(8)
+    for _ in range(3):
+        n, parts = r.randint(6, 9), [r.choice(["div", "section"]) + r.choice(["", " class='ad'", " id='x'"]) for _ in range(5)]
+        rows = []
+        for i in range(n):
+            inner = "".join(f"<{p}><p>{'same' if k % 2 else f'text {i} {k}' * r.randint(1, 9)}</p></{p.split()[0]}>" for k, p in enumerate(parts))
+            rows.append((i, "http://h.example/", f"<body>{inner}</body>"))
+        per_page = [html_template.page_tokens(h) for _, _, h in rows]
+        vectors = {t: tuple(p[t].times if t in p else 0 for p in per_page) for p in per_page for t in p}
+        names = {v: (k, k) for k, v in enumerate(sorted(set(vectors.values())))}
+        whole = []
+        for t, v in vectors.items():
+            own = [p[t] for p in per_page if t in p]
+            x = own[0]
+            whole.append(html_template.Token(t, x.parent, x.name, x.marked, x.main, x.is_text, sum(v), sum(o.chars for o in own), len(own), *names[v]))
+        expected = html_template.deduced_template(whole, n, True)
+        got = html_template.templates(pages(spark, rows).select("host", "html")).first()
+        assert (got.container, set(got.excluded), set(got.texts)) == (expected.container, set(expected.excluded), set(expected.texts))
 
 
 def test_copied_articles_stay_whole(spark):
-    rows = [(i, "http://h.example/", "<body><nav>m</nav><article><p>same text</p></article></body>") for i in range(8)]
+    rows = [(i, "http://h.example/", f"<body><nav>m{i}</nav><article><p>same text</p></article></body>") for i in range(8)]
     got = html_template.extract_pages(pages(spark, rows)).collect()
     assert [(r.text, r.n_chars) for r in got] == [("same text", 9)] * 8
     assert html_template.extract_pages(pages(spark, [])).count() == 0
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 200_000, "<div>" * 50_000 + "x", '<a "> ' * 100_001, "<b>" * 50_000 + "<p>x</p>" * 50_000, "</i>" * 100_000, "<p>é" * 100_000):
+        began = time.perf_counter()
+        html_template.extract(page)
+        assert time.perf_counter() - began < 15
+
+
 piece = st.sampled_from(["<", "|", "\\", chat.START, chat.END, chat.BREAK, "a", "\n", "assistant", "<\\|", "é"])
 text = st.lists(piece, max_size=8).map("".join)
 
@@ -97,6 +147,17 @@ def test_fold_applies_edits_and_regenerations():
     assert chat.fold(log) == [("user", "hi"), ("assistant", "good")]
 
 
+def test_events_delivered_twice_count_once(spark):
+    log = [(1, 1, "start", 1, "user", ""), (1, 2, "delta", 1, "", "ab"), (1, 2, "delta", 1, "", "ab"), (1, 3, "delta", 1, "", "ab")]
+    got = chat.format_conversations(spark.createDataFrame(log, chat.EVENTS)).first()
+    assert chat.parse(got.formatted) == [("user", "abab")]
+
+
+def test_no_conversations(spark):
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_conversations(chat.events_of_turns(turns))).count() == 0
+
+
 def test_conversations_round_trip(spark):
     hostile = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 1, "assistant", "x" * 950 + hostile), (1, 0, "user", None), (2, 0, "user", hostile), (2, 0, "user", hostile), (2, None, None, "é"), (None, 0, "assistant", "n")]
