@@ -4,8 +4,8 @@ A template is license wording with markup: ``<<optional>> ... <<end>>`` encloses
 ``<<var 0-8>>`` stands for any words of that number.  All templates compile into one token automaton: mandatory words
 must match exactly, optional regions may be skipped, replaceable regions take any words.  Subsets of its states are
 determinised as texts need them.  The automaton is started at every place where a template may begin, so it finds all
-places of all templates in whole texts; a text that a template takes from its first word to its last is accepted as
-that license as a whole.
+places of all templates in whole texts; of places inside one another the longest counts.  A text that a template takes from
+its first word to its last is accepted as that license as a whole.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z in lower case.
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm import license_texts as texts
 from loomwork.llm.arrow import rows
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -39,33 +40,54 @@ class Template:
     base: bool = False
 
 
-#: Fixed wording of public licenses and notices.
+_CC = "Creative Commons Attribution"
+_VERSION = "<<optional>> <<optional>> version <<end>> <<var 1-2>> <<end>> <<optional>> International <<end>> <<optional>> Unported <<end>> <<optional>> Generic <<end>>"
+
+#: Whole licenses and file notices, then phrases.
 TEMPLATES = (
     Template("mit", "under the MIT License", base=True),
     Template("apache-2", "Apache License Version 2", base=True),
     Template("cc-by-nc", "CC BY NC", base=True),
-    Template("mit", "MIT Licensed <<optional>> under the MIT <<end>>"),
+    Template("mit", texts.MIT),
+    Template("bsd-2-clause", texts.BSD_2),
+    Template("bsd-3-clause", texts.BSD_3),
+    Template("isc", texts.ISC),
+    Template("0bsd", texts.ZERO_BSD),
+    Template("apache-2", texts.APACHE_NOTICE),
+    Template("unlicense", texts.UNLICENSE),
+    Template("zlib", texts.ZLIB),
+    Template("gpl", "This " + texts.gnu_notice("").partition("<<var 1-6>> ")[2]),
+    Template("lgpl", "This " + texts.gnu_notice("Lesser").partition("<<var 1-6>> ")[2]),
+    Template("agpl", "This " + texts.gnu_notice("Affero").partition("<<var 1-6>> ")[2]),
+    Template("mit", "MIT Licensed"),
     Template("mit", "SPDX License Identifier MIT"),
-    Template(
-        "mit",
-        "Permission is hereby granted <<optional>> free of charge <<end>> to any person obtaining a copy of this software and "
-        "associated documentation files <<optional>> the <<var 1-3>> <<end>> to deal in <<var 1-4>> without restriction",
-    ),
-    Template("isc", "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    Template("apache-2", "Licensed under the Apache License <<optional>> Version 2 0 <<end>> <<optional>> the License <<end>> you may not use this file except in compliance with the License"),
     Template("apache-2", "SPDX License Identifier Apache 2 0"),
-    Template("bsd", "Redistribution and use in source and binary forms with or without modification are permitted <<optional>> provided that the following conditions are met <<end>>"),
-    Template("bsd", "SPDX License Identifier BSD <<var 1-1>> Clause"),
-    Template("gpl", "GNU <<optional>> Affero <<end>> <<optional>> Lesser <<end>> General Public License <<optional>> as published by the Free Software Foundation <<end>> <<optional>> either <<end>> <<optional>> version <<var 1-1>> <<end>>"),
+    Template("bsd-2-clause", "SPDX License Identifier BSD 2 Clause"),
+    Template("bsd-3-clause", "SPDX License Identifier BSD 3 Clause"),
+    Template("apache-2", "Licensed under the Apache License <<optional>> Version 2 0 <<end>> <<optional>> the License <<end>> you may not use this file except in compliance with the License"),
+    Template("mit-like", "Permission is hereby granted <<optional>> free of charge <<end>> to any person obtaining a copy of this software"),
+    Template("isc-like", "Permission to use copy modify and <<optional>> or <<end>> distribute this software for any purpose with or without fee is hereby granted"),
+    Template("bsd-like", "Redistribution and use in source and binary forms with or without modification are permitted"),
+    Template("gpl", "GNU General Public License <<optional>> version <<var 1-1>> <<end>>"),
+    Template("lgpl", "GNU Lesser General Public License <<optional>> version <<var 1-1>> <<end>>"),
+    Template("lgpl", "GNU Library General Public License <<optional>> version <<var 1-1>> <<end>>"),
+    Template("agpl", "GNU Affero General Public License <<optional>> version <<var 1-1>> <<end>>"),
     Template("mpl-2", "subject to the terms of the Mozilla Public License <<optional>> v <<end>> <<optional>> version <<end>> 2 0"),
     Template("unlicense", "This is free and unencumbered software released into the public domain"),
     Template("cc0", "CC0 1 0 <<optional>> Universal <<end>>"),
-    Template("cc-by-nc", "Creative Commons Attribution Non <<optional>> <<var 0-0>> <<end>> Commercial"),
-    Template("cc-by-nc", "Creative Commons Attribution NonCommercial"),
-    Template("cc-by-sa", "Creative Commons Attribution Share <<optional>> A <<end>> Alike"),
-    Template("cc-by-sa", "Creative Commons Attribution ShareAlike"),
-    Template("cc-by", "Creative Commons Attribution <<var 0-1>> <<optional>> International <<end>> License"),
-    Template("all-rights-reserved", "Copyright <<var 0-8>> All rights reserved"),
+    Template("cc-by", f"{_CC} <<optional>> <<var 1-1>> 0 <<end>> <<optional>> International <<end>> <<optional>> Unported <<end>> <<optional>> Generic <<end>> License"),
+    *[
+        Template(label, f"{_CC} {words} {_VERSION} License")
+        for label, ways in (
+            ("cc-by-sa", ("ShareAlike", "Share Alike")),
+            ("cc-by-nd", ("NoDerivs", "NoDerivatives", "No Derivatives")),
+            ("cc-by-nc", ("NonCommercial", "Non Commercial")),
+            ("cc-by-nc-sa", ("NonCommercial ShareAlike", "Non Commercial Share Alike")),
+            ("cc-by-nc-nd", ("NonCommercial NoDerivs", "NonCommercial NoDerivatives", "Non Commercial No Derivatives")),
+        )
+        for words in ways
+    ],
+    Template("all-rights-reserved", "Copyright <<var 0-30>> All rights reserved"),
 )
 
 OTHER = b""
@@ -118,8 +140,11 @@ class Automaton:
                     if k >= low:
                         free.setdefault(place, set()).add(place + 1)
                     place += 1
-        if opened or (0 not in words) or 0 in free:
-            raise ValueError(f"a template must begin with a mandatory word and close its regions: {markup}")
+        reach = {0}
+        while more := {q for p in reach for q in free.get(p, ())} - reach:
+            reach |= more
+        if opened or place in reach or reach & anyone:
+            raise ValueError(f"a template must have a mandatory word, begin with words and close its regions: {markup}")
         self.words.append(words)
         self.any.append(anyone)
         self.free.append(free)
@@ -178,11 +203,23 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
+def longest(found: list[tuple[int, int, int]], templates: tuple[Template, ...]) -> list[tuple[int, int, int]]:
+    """The places without those inside a longer place of another template; those of base phrases all stay."""
+    out, reach, before = [], 0, (0, 0)
+    for k, i, end in sorted(found, key=lambda x: (x[1], -x[2])):
+        if templates[k].base:
+            out.append((k, i, end))
+        elif end > reach or (i, end) == before:
+            out.append((k, i, end))
+            reach, before = max(reach, end), (i, end)
+    return out
+
+
 def scan(text: bytes, automaton: Automaton) -> dict:
     """What the templates find in a text."""
     words = words_of(text)
-    found = automaton.matches(words)
     templates = automaton.templates
+    found = longest(automaton.matches(words), templates)
     base = [(k, i) for k, i, _ in found if templates[k].base]
     covered, reach = 0, 0
     for _, i, end in sorted(found, key=lambda x: x[1:]):

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from loomwork.llm import license_scan, multiset_hash, ngram_join, packing, quality, substring_dedup
+from loomwork.llm import license_scan, license_texts, multiset_hash, ngram_join, packing, quality, substring_dedup
 from loomwork.llm.bpe import encode_documents, forced_boundary_tokenizer
 from loomwork.llm.vocab import tokenizer_path
 from tests.llm import fixtures as X
@@ -41,10 +41,76 @@ def test_license_templates_have_optional_and_replaceable_regions():
     ends = lambda text: [m[2] for m in a.matches(text.encode().split())]
     assert ends("one four x five") == [4] and ends("one two four x y five") == [6] and ends("one two three four z five") == [6]
     assert ends("one three four x five") == [] and ends("one four five") == [] and ends("one four a b c five") == []
-    got = license_scan.scan(b"This is free and unencumbered software released into the public domain.", license_scan.Automaton(license_scan.TEMPLATES))
-    assert got["accepted"] == "unlicense" and got["score"] == 1.0
     with pytest.raises(ValueError):
-        license_scan.Automaton([license_scan.Template("x", "<<optional>> a <<end>> b")])
+        license_scan.Automaton([license_scan.Template("x", "<<optional>> a <<end>>")])
+
+
+def _pattern(markup):
+    """A template as a regular expression over words that each end with a space."""
+    out = []
+    for x in re.findall(r"<<optional>>|<<end>>|<<var \d+-\d+>>|[^\s<]+", markup):
+        if x == "<<optional>>":
+            out.append("(?:")
+        elif x == "<<end>>":
+            out.append(")?")
+        elif x.startswith("<<var"):
+            a, b = re.findall(r"\d+", x)
+            out.append(f"(?:\\S+ ){{{a},{b}}}")
+        else:
+            out += [w.decode() + " " for w in license_scan.words_of(x.encode())]
+    return re.compile("".join(out))
+
+
+def test_whole_licenses_are_accepted():
+    a = license_scan.Automaton(license_scan.TEMPLATES)
+    for label, markup in (("mit", license_texts.MIT), ("bsd-2-clause", license_texts.BSD_2), ("bsd-3-clause", license_texts.BSD_3), ("isc", license_texts.ISC), ("0bsd", license_texts.ZERO_BSD), ("apache-2", license_texts.APACHE_NOTICE), ("unlicense", license_texts.UNLICENSE), ("zlib", license_texts.ZLIB)):
+        plain = re.sub(r"<<var (\d+)-\d+>>", "the holder", re.sub(r"<<optional>>[^<]*<<end>>", "", re.sub(r"<<optional>>[^<]*<<end>>", "", markup.replace("<<var 0-30>>", "2020 Some One").replace("<<var 1-1>>", "2"))))
+        plain = re.sub(r"<<\w+>>", "", plain)
+        got = license_scan.scan(plain.encode(), a)
+        assert (got["accepted"], got["labels"], got["score"]) == (label, label, 1.0), (label, got["labels"], got["score"])
+        changed = license_scan.scan(re.sub("(?i)software", "hardware", plain, count=1).encode(), a)
+        assert changed["accepted"] == "", label
+        with_head = license_scan.scan(("prose before " + plain).encode(), a)
+        assert label in with_head["labels"].split(",") and with_head["accepted"] == ""
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("Creative Commons Attribution ShareAlike 4.0 International License", "cc-by-sa"),
+    ("Creative Commons Attribution NoDerivs License", "cc-by-nd"),
+    ("Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License", "cc-by-nc-sa"),
+    ("GNU Lesser General Public License", "lgpl"),
+    ("GNU Affero General Public License version 3", "agpl"),
+    ("the GNU General Public License", "gpl"),
+    ("Copyright (c) 1983, 1990 The Regents of the University of California. All rights reserved.", "all-rights-reserved"),
+])
+def test_labels_of_notices(text, labels):
+    assert license_scan.scan(text.encode(), license_scan.Automaton(license_scan.TEMPLATES))["labels"] == labels
+
+
+def test_labels_and_score_equal_a_search_by_regular_expressions():
+    import random
+
+    r = random.Random(1)
+    automaton = license_scan.Automaton(license_scan.TEMPLATES)
+    patterns = [_pattern(t.markup) for t in license_scan.TEMPLATES]
+    short = [t.markup for t in license_scan.TEMPLATES if len(t.markup) < 300]
+    for _ in range(60):
+        parts = [re.sub(r"<<[^>]*>>", lambda m: r.choice(["", "x", "3"]), r.choice(short)) if r.random() < 0.5 else " ".join(r.choices(["the", "mit", "copyright", "license", "gnu", "prose", "2"], k=5)) for _ in range(8)]
+        words = license_scan.words_of(" ".join(parts).encode())
+        line = b" ".join(words).decode() + " "
+        starts = [0, *[m.end() for m in re.finditer(" ", line)]]
+        found = []
+        for k, p in enumerate(patterns):
+            for i, at in enumerate(starts[:-1]):
+                ends = [j for j in range(i + 1, len(starts)) if p.fullmatch(line, at, starts[j])]
+                found += [(k, i, max(ends))] if ends else []
+        inner = lambda x: any(y[1] <= x[1] and x[2] <= y[2] and (y[1], y[2]) != (x[1], x[2]) for y in found if not license_scan.TEMPLATES[y[0]].base)
+        kept = [x for x in found if license_scan.TEMPLATES[x[0]].base or not inner(x)]
+        got = license_scan.scan(" ".join(parts).encode(), automaton)
+        assert got["labels"] == ",".join(sorted({license_scan.TEMPLATES[k].label for k, _, _ in kept}))
+        covered = {p for _, i, e in kept for p in range(i, e)}
+        assert got["score"] == len(covered) / len(words)
 
 
 def test_substring_dedup_equals_brute_force(spark):
