@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.arrow import rows
+from loomwork.llm.arrow import in_small_batches, rows
 from loomwork.llm.vocab import tokenizer_path
 
 
@@ -180,4 +180,4 @@ def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", fold
         if out:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.arrow import rows
+from loomwork.llm.arrow import in_small_batches, rows
 from loomwork.llm.scratch import written
 
 # Element names and words of class, id and role attributes.
@@ -427,7 +427,7 @@ def templates(pages: DataFrame, least: int = 6) -> DataFrame:
 
 def extract_pages(pages: DataFrame, least: int = 6) -> DataFrame:
     """Per page: page_id, url, text and its code points."""
-    source = pages.select(
+    source = in_small_batches(pages).select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumn("host", F.expr(host_of("url")))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import license_texts as texts
-from loomwork.llm.arrow import rows
+from loomwork.llm.arrow import in_small_batches, rows
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _MARK = re.compile(r"<<(optional|end|var (\d+)-(\d+))>>")
@@ -259,4 +259,4 @@ def scan_licenses(docs: DataFrame, templates: Iterable[Template] = TEMPLATES) ->
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.arrow import rows
+from loomwork.llm.arrow import in_small_batches, rows
 from loomwork.llm.bloom import Bloom
 from loomwork.llm.scratch import Scratch
 from loomwork.llm.wordhash import Words, batches, mix, ngrams, pair
@@ -645,7 +645,7 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    source = docs.select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    source = in_small_batches(docs).select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     profiles = scratch.written(_profiles(source, n, sketch_bits), "profiles")
     known = profiles.where("part is null").select("doc", "key", "node", "n")
     some = profiles.where("part is null and doc is not null and n > 0")

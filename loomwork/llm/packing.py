@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.arrow import rows
+from loomwork.llm.arrow import in_small_batches, rows
 from loomwork.llm.vocab import tokenizer_path
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
@@ -61,7 +61,7 @@ class ByteLevelEncoder:
     encoded alone; ids of parts seen before come from a bounded memory.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, end_id: int, most: int = 300_000):
+    def __init__(self, ranks_path: str, pattern: str, end_id: int, most: int = 100_000):
         import base64
 
         import tiktoken
@@ -293,4 +293,4 @@ def pack_documents(docs: DataFrame, longest: int = 1024, groups: int = 8, step_t
         if out:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.arrow import rows
+from loomwork.llm.arrow import in_small_batches, rows
 from loomwork.llm.bloom import Bloom
 from loomwork.llm.scratch import written
 from loomwork.llm.wordhash import Words, batches, ngrams, pair
@@ -52,7 +52,7 @@ _U = np.uint64
 def sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Id to order by, digest that tells apart rows of one id, and text."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return in_small_batches(docs).select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def _anchors(h: np.ndarray, k: int, m: int) -> np.ndarray:

@@ -39,7 +39,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.arrow import rows
+from loomwork.llm.arrow import in_small_batches, rows
 from loomwork.llm.scratch import fresh_path, written
 
 #: A directory entry: block's offset, length and first line, then the offset and length of its first key in the key file.
@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, date: st
     may be split over tasks, and while the table is small no page crosses the network.
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    source = pages.select(
+    source = in_small_batches(pages).select(
         F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),

@@ -92,7 +92,7 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
         size *= 2
 
 
-def batches(rows: Iterator[tuple], size_of, most: int = 2_000_000) -> Iterator[list[tuple]]:
+def batches(rows: Iterator[tuple], size_of, most: int = 1_000_000) -> Iterator[list[tuple]]:
     """Lists of rows of about ``most`` bytes of text; one longer text makes a list of its own."""
     held, total = [], 0
     for row in rows:
