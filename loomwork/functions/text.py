@@ -27,24 +27,30 @@ def single_space_words(t: str | Column) -> Column:
 
 
 def is_box_header(t: str | Column, section_header: Column | None = None) -> Column:
-    """Starts with BOX in capitals and a number, and has a bar; a section header needs no bar."""
-    starts = F.upper(col(t)).startswith("BOX")
-    numbered = col(t).rlike(r"^BOX \w?-?\d+") & col(t).contains("|")
-    return starts & (numbered if section_header is None else numbered | section_header)
+    """Starts with BOX in any case, and is a section header or has a number and a bar."""
+    upper = F.upper(col(t))
+    numbered = upper.rlike(r"(?U)^BOX \w?-?\d+") & col(t).contains("|")
+    return upper.startswith("BOX") & (numbered if section_header is None else numbered | section_header)
 
 
 def is_sentence_end(t: str | Column) -> Column:
     return col(t).endswith(".")
 
 
+def is_picture_or_table(t: str | Column, kind: str | Column) -> Column:
+    """Pictures, tables and what belongs to them: sources of fewer than ten words, notes, captions, numbered titles with a bar."""
+    upper, words = F.upper(col(t)), single_space_words(t)
+    source = (upper.startswith("SOURCE:") | upper.startswith("SOURCES:")) & (words < 10)
+    note = upper.startswith("NOTE:") | upper.startswith("NOTES:") | upper.startswith("ABBREVIATIONS:") | upper.startswith("NOTES AND SOURCES:")
+    caption = (upper.startswith("FIGURE") | upper.startswith("TABLE")) & (col(kind) == "Caption")
+    numbered = upper.rlike(r"(?U)^(FIGURE|TABLE) \w?-?\d+") & col(t).contains("|")
+    return col(kind).isin("Picture", "Table") | source | note | caption | numbered
+
+
 def is_junk(t: str | Column, kind: str | Column) -> Column:
-    """Elements that are no running text: pictures, tables, their notes, page headers and footers, scraps."""
-    lower = F.lower(F.trim(col(t)))
-    words = single_space_words(t)
-    note = (lower.startswith("source:") | lower.startswith("note:") | lower.startswith("notes:") | lower.startswith("figure ") | lower.startswith("table ") | lower.startswith("photo")) & (words < 10)
-    picture = col(kind).isin("Picture", "Table", "Caption") | note
-    edge = col(kind).isin("Page header", "Page footer")
-    return picture | edge | (F.length(col(t)) < 4) | col(t).startswith("Suggested Citation:")
+    """Elements that are no running text: pictures and tables, page headers and footers, scraps."""
+    scrap = (F.length(col(t)) < 4) | col(t).startswith("Suggested Citation:")
+    return is_picture_or_table(t, kind) | col(kind).isin("Page header", "Page footer") | scrap
 
 
 def is_text_chunk(t: str | Column, kind: str | Column) -> Column:

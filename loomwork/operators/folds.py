@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,34 +15,30 @@ def joined_paragraphs(fragments: DataFrame, doc: str, order: str, text: str, com
     return grouped.select(doc, "number", F.array_join(F.transform("_x", lambda x: x[text]), " ").alias("text"), "whole")
 
 
-def merged_chapters(chapters: DataFrame, doc: str, order: str, kind: str, text: str, least: int = 500) -> DataFrame:
-    """Greedy merge of short chapters: one below ``least`` characters takes the following default chapters, not yet taken.
+def merged_chapters(chapters: DataFrame, doc: str, order: str, kind: str, header: str, parts: str, least: int = 500, excluded: tuple[str, ...] = ("FIGURE", "TABLE")) -> DataFrame:
+    """(doc, seq, text) of chapters with their headers as second-level titles, short ones merged greedily.
 
-    The first is joined by a line break, further ones by a space; figures and tables are left out.
+    A DEFAULT chapter whose text, header included, has fewer than ``least`` characters takes the next DEFAULT chapters until it has
+    as many; chapters of other kinds stand alone, those of ``excluded`` kinds are left out.  ``parts`` is an array of texts: those of a
+    chapter that begins a text are joined by line breaks, those of a chapter that is taken by spaces.
     """
-
-    def merge(p: pd.DataFrame) -> pd.DataFrame:
-        p = p[~p["kind"].isin(["FIGURE", "TABLE"])].sort_values("seq")
-        taken, out = set(), []
-        rows = list(p.itertuples(index=False))
-        for i, r in enumerate(rows):
-            if i in taken:
-                continue
-            parts, size = r.text, len(r.text)
-            glue = "\n"
-            for j in range(i + 1, len(rows)):
-                if size >= least:
-                    break
-                if j not in taken and rows[j].kind == "DEFAULT":
-                    taken.add(j)
-                    parts += glue + rows[j].text
-                    size, glue = len(parts), " "
-            out.append((r.doc, r.seq, parts))
-        return pd.DataFrame(out, columns=["doc", "seq", "text"])
-
-    plain = chapters.select(F.col(doc).alias("doc"), F.col(order).alias("seq"), F.coalesce(F.col(kind), F.lit("DEFAULT")).alias("kind"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kinds = dict(plain.dtypes)
-    return plain.groupBy("doc").applyInPandas(merge, f"doc {kinds['doc']}, seq {kinds['seq']}, text string")
+    title = F.concat(F.lit("## "), F.coalesce(header, F.lit("")), F.lit("\n\n"))
+    plain = chapters.where(~F.col(kind).isin(*excluded)).select(
+        F.col(doc).alias("doc"), F.col(order).alias("seq"), F.col(kind).alias("kind"),
+        F.concat(title, F.array_join(parts, "\n")).alias("alone"), F.concat(title, F.array_join(parts, " ")).alias("taken"),
+    )
+    item = F.struct("seq", "kind", F.length("alone").alias("n"))
+    # the fold sees sizes alone; it gives the place in the document of the chapter that takes each chapter
+    heads = f"""aggregate(x, struct(cast(array() as array<struct<seq:bigint,head:bigint>>) as done, cast(null as bigint) as head, 0 as n),
+        (a, c) -> case
+            when c.kind <> 'DEFAULT' then struct(concat(a.done, array(struct(cast(c.seq as bigint) as seq, cast(c.seq as bigint) as head))) as done, a.head as head, a.n as n)
+            when a.head is not null and a.n < {least} then struct(concat(a.done, array(struct(cast(c.seq as bigint) as seq, a.head as head))) as done, a.head as head, a.n + 2 + c.n as n)
+            else struct(concat(a.done, array(struct(cast(c.seq as bigint) as seq, cast(c.seq as bigint) as head))) as done, cast(c.seq as bigint) as head, c.n as n) end, a -> a.done)"""
+    owned = plain.groupBy("doc").agg(F.sort_array(F.collect_list(item)).alias("x")).select("doc", F.explode(F.expr(heads)).alias("h")).select("doc", "h.seq", "h.head")
+    joined = plain.withColumn("seq", F.col("seq").cast("long")).join(owned, ["doc", "seq"])
+    text = F.when(F.col("seq") == F.col("head"), F.col("alone")).otherwise(F.col("taken")).alias("text")
+    grouped = joined.groupBy("doc", F.col("head").alias("seq")).agg(F.sort_array(F.collect_list(F.struct(F.col("seq").alias("at"), text))).alias("x"))
+    return grouped.select("doc", "seq", F.array_join(F.transform("x", lambda c: c["text"]), "\n\n").alias("text"))
 
 
 def reference_section(elements: DataFrame, doc: str, order: str, is_title: Column, is_header: Column) -> DataFrame:

@@ -8,90 +8,165 @@ from loomwork.functions import similarity as Sim
 from loomwork.functions import text as T
 from loomwork.operators import folds, graph, layout, markup
 from loomwork.plans.registry import query
-from loomwork.plans.text import _LINES, lines
+from loomwork.plans.text import _CHUNK, _ELEMENTS, _JUNK, _LINES, lines, prefixed_lines
 
+
+#: Pages of twenty elements in two columns of 800 x 1000; some have wide boxes above, below or throughout.  One header of some
+#: documents is a reference title.
 def boxes(read):
-    """Layout elements of pages of twenty lines: every third on the left, the others on the right."""
-    seq = F.col("seq")
-    left = F.when(seq % 3 == 0, 40).otherwise(F.when(F.col("doc_id") % 2 == 0, F.when(seq % 20 < 4, 300).otherwise(420)).otherwise(420))
-    return lines(read).select(
-        "doc_id", (seq / 20).cast("int").alias("page"), (seq % 20).alias("index"), F.col("line").alias("text"), "kind",
-        left.cast("int").alias("left"), ((seq % 20) * 50).alias("top"), F.when(seq % 3 == 0, 380).otherwise(760).alias("right"), ((seq % 20) * 50 + 40).alias("bottom"),
+    seq, doc = F.col("seq"), F.col("doc_id")
+    place = seq % 20
+    wide = ((doc % 4 == 0) & (place < 4)) | ((doc % 5 == 1) & (place >= 14)) | (doc % 7 == 3)
+    title = (seq == 28) & (doc % 3 == 0)
+    return prefixed_lines(read).select(
+        "doc_id", F.floor(seq / 20).cast("int").alias("page"), seq.cast("int").alias("index"), F.when(title, "References").otherwise(F.col("line")).alias("text"), "kind",
+        F.when(wide, 60).when(seq % 3 == 0, 40).otherwise(420).cast("int").alias("left"), (place * 50).cast("int").alias("top"),
+        F.when(wide, 700).when(seq % 3 == 0, 380).otherwise(760).cast("int").alias("right"), (place * 50 + 40).cast("int").alias("bottom"),
     )
 
 
-_BOX = f"""SELECT doc_id, (seq // 20)::INT AS page, (seq % 20)::INT AS index, line AS text, kind,
-    (CASE WHEN seq % 3 = 0 THEN 40 WHEN doc_id % 2 = 0 AND seq % 20 < 4 THEN 300 ELSE 420 END)::INT AS left, ((seq % 20) * 50)::INT AS top,
-    (CASE WHEN seq % 3 = 0 THEN 380 ELSE 760 END)::INT AS right, ((seq % 20) * 50 + 40)::INT AS bottom FROM ({_LINES})"""
-_ZONES = "(VALUES ('LEFT', 35, 0, 385, 1000), ('RIGHT', 415, 0, 765, 1000)) z(zone, zl, zt, zr, zb)"
-_INSIDE = f"SELECT b.*, zone FROM ({_BOX}) b, {_ZONES} WHERE b.left >= zl - 10 AND b.top >= zt - 10 AND b.right <= zr + 10 AND b.bottom <= zb + 10"
+_WIDE = "(doc_id % 4 = 0 AND seq % 20 < 4 OR doc_id % 5 = 1 AND seq % 20 >= 14 OR doc_id % 7 = 3)"
+_BOX = f"""SELECT doc_id, (seq // 20)::INT AS page, seq::INT AS index, CASE WHEN seq = 28 AND doc_id % 3 = 0 THEN 'References' ELSE line END AS text, kind,
+    (CASE WHEN {_WIDE} THEN 60 WHEN seq % 3 = 0 THEN 40 ELSE 420 END)::INT AS l, ((seq % 20) * 50)::INT AS t,
+    (CASE WHEN {_WIDE} THEN 700 WHEN seq % 3 = 0 THEN 380 ELSE 760 END)::INT AS r, ((seq % 20) * 50 + 40)::INT AS b FROM ({_ELEMENTS})"""
+#: Borders of the free slice around three rows of each page, then the zones of the first rule that holds.
+_ZONES = f"""WITH box AS ({_BOX}), page AS (SELECT doc_id, page, min(t) AS y0, max(b) AS y1 FROM box GROUP BY ALL),
+    probe AS (SELECT doc_id, page, y0, y1, unnest(['half', 'quarter', 'three']) AS name, unnest([(y0 + y1) // 2, trunc(y0 + (y1 - y0) * 0.25)::INT, trunc(y0 + (y1 - y0) * 0.75)::INT]) AS m FROM page),
+    edge AS (SELECT doc_id, page, name, any_value(y0) AS y0, any_value(y1) AS y1,
+        CASE WHEN bool_or(x AND t <= m AND b >= m) THEN any_value(m) ELSE coalesce(max(b) FILTER (x AND b < m), any_value(y0)) END AS up,
+        CASE WHEN bool_or(x AND t <= m AND b >= m) THEN any_value(m) ELSE coalesce(min(t) FILTER (x AND t > m), any_value(y1)) END AS down
+        FROM (SELECT *, r >= 390 AND l <= 410 AS x FROM probe JOIN box USING (doc_id, page)) GROUP BY ALL),
+    wide AS (SELECT doc_id, page, bool_or(l < 410 AND r > 390) AS crossed FROM box GROUP BY ALL),
+    e AS (SELECT doc_id, page, y0, y1, crossed, max(up) FILTER (name = 'half') AS hu, max(down) FILTER (name = 'half') AS hd, max(up) FILTER (name = 'quarter') AS qu,
+        max(down) FILTER (name = 'quarter') AS qd, max(up) FILTER (name = 'three') AS tu, max(down) FILTER (name = 'three') AS td FROM edge JOIN wide USING (doc_id, page) GROUP BY ALL),
+    candidate AS (
+        SELECT doc_id, page, 1 AS rule, 'TWO_COLUMN' AS layout, unnest([0, 1]) AS seq, unnest(['LEFT', 'RIGHT']) AS zone, unnest([0, 410]) AS zl, y0 AS zt, unnest([390, 800]) AS zr, y1 AS zb, NOT crossed AS fits, true AS must FROM e
+        UNION ALL SELECT doc_id, page, 2, 'TWO_COLUMN_BORDER', unnest([0, 1]), unnest(['LEFT', 'RIGHT']), unnest([0, 410]), hu, unnest([390, 800]), hd, hu <= y0 + (y1 - y0) * 0.15 AND hd >= y1 - (y1 - y0) * 0.15, false FROM e
+        UNION ALL SELECT doc_id, page, 3, 'INVERTED_T', unnest([0, 1, 2]), unnest(['LEFT_UP', 'RIGHT_UP', 'LOW']), unnest([0, 410, 0]), unnest([qu, qu, qd]), unnest([390, 800, 800]), unnest([qd, qd, 1000]), qu <= y0 + (y1 - y0) * 0.15, true FROM e
+        UNION ALL SELECT doc_id, page, 4, 'T', unnest([0, 1, 2]), unnest(['UP', 'LEFT_LOW', 'RIGHT_LOW']), unnest([0, 0, 410]), unnest([0, tu, tu]), unnest([800, 390, 800]), unnest([tu, td, td]), td >= y1 - (y1 - y0) * 0.15, true FROM e
+        UNION ALL SELECT doc_id, page, 5, 'DEFAULT', 0, 'DEFAULT', 0, 0, 800, 1000, true, false FROM e),
+    held AS (SELECT c.doc_id, c.page, rule, c.seq, bool_or(l >= zl AND r <= zr AND t >= zt AND b <= zb) AS one FROM candidate c JOIN box USING (doc_id, page) GROUP BY ALL),
+    rule AS (SELECT doc_id, page, min(rule) AS rule FROM (SELECT doc_id, page, rule FROM candidate JOIN held USING (doc_id, page, rule, seq) GROUP BY ALL HAVING bool_and(fits) AND bool_and(one OR NOT must)) GROUP BY ALL),
+    zones AS (SELECT doc_id, page, layout, seq, zone, zl, zt, zr, zb FROM candidate JOIN rule USING (doc_id, page, rule)),
+    inside AS (SELECT box.*, zones.seq, zone FROM box JOIN zones USING (doc_id, page) WHERE l >= zl - 10 AND t >= zt - 10 AND r <= zr + 10 AND b <= zb + 10)"""
+
+
+def _zones(read):
+    return layout.layout_of_pages(boxes(read), ["doc_id", "page"], 800, 1000)
 
 
-def zones(b):
-    """The two columns of each page."""
-    each = F.array(*[F.struct(F.lit(n).alias("zone"), *[F.lit(v).alias(s) for s, v in zip(layout.SIDES, at, strict=True)]) for n, at in (("LEFT", (35, 0, 385, 1000)), ("RIGHT", (415, 0, 765, 1000)))])
-    return b.select("doc_id", "page").distinct().select("doc_id", "page", F.explode(each).alias("z")).select("doc_id", "page", "z.*")
+def _inside(read):
+    return layout.contained(boxes(read), _zones(read), ["doc_id", "page"], 10, ["seq"])
 
 
-def _inside(read):
-    b = boxes(read)
-    return layout.contained(b, zones(b), ["doc_id", "page"], 10)
+@query("layout_cascade", f"{_ZONES} SELECT doc_id, page, layout, seq::INT AS seq, zone, zl::INT AS l, zt::INT AS t, zr::INT AS r, zb::INT AS b FROM zones")
+def layout_cascade(read):
+    return _zones(read).withColumnsRenamed({"left": "l", "top": "t", "right": "r", "bottom": "b"})
 
 
-@query("zone_containment", f"SELECT doc_id, page, zone, count(*) AS n FROM ({_INSIDE}) GROUP BY ALL")
+@query("zone_containment", f"{_ZONES} SELECT doc_id, page, zone, count(*) AS n FROM inside GROUP BY ALL")
 def zone_containment(read):
     return _inside(read).groupBy("doc_id", "page", "zone").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "zone_paragraphs",
-    f"""WITH i AS ({_INSIDE}), g AS (SELECT doc_id, page, zone, arg_max(text, index) AS t, arg_max(kind, index) AS k, arg_max(bottom, index) AS b, max(bottom) AS m, count(*) AS n FROM i GROUP BY ALL)
-    SELECT doc_id, page, zone, CASE WHEN b = m AND k = 'Text' AND NOT ends_with(t, '.') THEN n - 1 ELSE n END AS n_paragraphs, CASE WHEN b = m AND k = 'Text' AND NOT ends_with(t, '.') THEN md5(t) END AS last_fragment FROM g""",
-)
+@query("zone_containment_exact", f"{_ZONES} SELECT doc_id, page, zone, count(*) AS n FROM box JOIN zones USING (doc_id, page) WHERE l >= zl AND t >= zt AND r <= zr AND b <= zb GROUP BY ALL")
+def zone_containment_exact(read):
+    return layout.contained(boxes(read), _zones(read), ["doc_id", "page"]).groupBy("doc_id", "page", "zone").agg(F.count(F.lit(1)).alias("n"))
+
+
+_JUNK_TEXT, _CHUNK_TEXT = _JUNK.replace("line", "text"), _CHUNK.replace("line", "text")
+_JOINED = r"regexp_replace(text, '([\p{L}\p{M}\p{Nd}\p{Pc}]+)- ([\p{L}\p{M}\p{Nd}\p{Pc}]+)', '\1\2', 'g')"
+#: From elements ``part`` with zones: paragraphs of each zone, with what is carried on.
+_PARAGRAPHS = f"""kept AS (SELECT *, CASE WHEN zone = 'DEFAULT' THEN -((r - 800) ** 2 + (b - 1000) ** 2) ELSE b END AS far FROM part WHERE NOT {_JUNK_TEXT}),
+    ends AS (SELECT doc_id, page, seq, zone, max(index) AS last, arg_max(kind, index) AS k, arg_max(text, index) AS x, min(index) FILTER (far = best) AS lowest
+        FROM (SELECT *, max(far) OVER (PARTITION BY doc_id, page, seq) AS best FROM kept) GROUP BY ALL),
+    carried AS (SELECT doc_id, page, seq, zone, CASE WHEN last = lowest AND k = 'Text' AND NOT ends_with(x, '.') THEN last END AS cut FROM ends),
+    texts AS (SELECT doc_id, page, seq, zone, list({_JOINED} ORDER BY index) FILTER (index IS DISTINCT FROM cut AND {_CHUNK_TEXT}) AS paragraphs, max({_JOINED}) FILTER (index = cut) AS last_fragment
+        FROM kept JOIN carried USING (doc_id, page, seq, zone) GROUP BY ALL),
+    result AS (SELECT doc_id, page, seq, zone, CASE WHEN zone NOT IN ('UP', 'LOW') THEN coalesce(paragraphs, []) END AS paragraphs, CASE WHEN zone NOT IN ('UP', 'LOW') THEN last_fragment END AS last_fragment
+        FROM (SELECT DISTINCT doc_id, page, seq, zone FROM part) LEFT JOIN texts USING (doc_id, page, seq, zone))"""
+_DIGESTED = "doc_id, page, seq::INT AS seq, zone, len(paragraphs)::BIGINT AS n_paragraphs, md5(array_to_string(paragraphs, chr(10))) AS paragraphs, md5(last_fragment) AS last_fragment"
+
+
+def _digested(z):
+    digest = F.md5(F.array_join("paragraphs", "\n"))
+    return z.select("doc_id", "page", F.col("seq").cast("int").alias("seq"), "zone", F.when(F.col("paragraphs").isNotNull(), F.size("paragraphs")).cast("long").alias("n_paragraphs"), digest.alias("paragraphs"), F.md5("last_fragment").alias("last_fragment"))
+
+
+@query("zone_paragraphs", f"{_ZONES}, part AS (SELECT * FROM inside), {_PARAGRAPHS} SELECT {_DIGESTED} FROM result")
 def zone_paragraphs(read):
-    z = layout.zone_paragraphs(_inside(read), ["doc_id", "page"])
-    return z.select("doc_id", "page", "zone", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.md5("last_fragment").alias("last_fragment"))
+    return _digested(layout.zone_paragraphs(_inside(read), ["doc_id", "page", "seq"], 800, 1000))
+
+
+_POST = f"""{_ZONES}, titles AS (SELECT doc_id, min(index) AS title FROM box WHERE kind = 'Section header' AND upper(text) = 'REFERENCES' GROUP BY doc_id HAVING count(*) = 1),
+    start AS (SELECT doc_id, min((page, seq, index)) AS s FROM inside JOIN titles USING (doc_id) WHERE index = title GROUP BY doc_id),
+    stop AS (SELECT doc_id, min((page, seq, index)) AS e FROM inside JOIN start USING (doc_id) WHERE kind = 'Section header' AND (page, seq, index) > s GROUP BY doc_id),
+    marked AS (SELECT inside.*, s, e FROM inside LEFT JOIN start USING (doc_id) LEFT JOIN stop USING (doc_id)),
+    part AS (SELECT * FROM marked WHERE s IS NULL OR (page, seq, index) < s AND NOT (e IS NOT NULL AND s[1] = e[1] AND s[2] = e[2] AND page = s[1] AND seq = s[2]))"""
+
+
+@query("pdf_paragraphs", f"{_POST}, {_PARAGRAPHS} SELECT {_DIGESTED} FROM result")
+def pdf_paragraphs(read):
+    return _digested(layout.postprocessed(boxes(read), _zones(read), "doc_id", 800, 1000)[0])
+
+
+@query("pdf_references", f"{_POST} SELECT doc_id, count(*) AS n_references, md5(string_agg({_JOINED}, chr(10) ORDER BY page, seq, index)) AS digest FROM marked WHERE (page, seq, index) > s AND (e IS NULL OR (page, seq, index) < e) AND NOT {_JUNK_TEXT} GROUP BY doc_id")
+def pdf_references(read):
+    refs = layout.postprocessed(boxes(read), _zones(read), "doc_id", 800, 1000)[1]
+    return refs.select("doc_id", F.size("references").cast("long").alias("n_references"), F.md5(F.array_join("references", "\n")).alias("digest"))
 
 
 @query(
-    "nearest_box",
-    f"""WITH b AS ({_BOX}), c AS (SELECT *, "left" < 410 AND "right" > 390 AS x FROM b)
-    SELECT doc_id, page, CASE WHEN bool_or(x AND top <= 500 AND bottom >= 500) THEN 500 ELSE coalesce(max(CASE WHEN x AND bottom < 500 THEN bottom END), 0) END AS up,
-    CASE WHEN bool_or(x AND top <= 500 AND bottom >= 500) THEN 500 ELSE min(CASE WHEN x AND top > 500 THEN top END) END AS down FROM c GROUP BY ALL""",
+    "reference_title",
+    f"SELECT doc_id, CASE WHEN count(*) FILTER (kind = 'Section header' AND upper(text) = 'REFERENCES') = 1 THEN min(index) FILTER (kind = 'Section header' AND upper(text) = 'REFERENCES') ELSE -1 END AS place FROM ({_BOX}) GROUP BY doc_id",
 )
-def nearest_box(read):
-    return layout.nearest_edges(boxes(read), ["doc_id", "page"], F.lit(390), F.lit(410), F.lit(500))
+def reference_title(read):
+    return layout.reference_title(boxes(read), ["doc_id"])
 
 
 @query(
-    "layout_cascade",
-    f"""WITH b AS ({_BOX}), c AS (SELECT *, "left" < 405 AND "right" > 395 AS x FROM b),
-    g AS (SELECT doc_id, page, bool_or("right" <= 395) AND bool_or("left" >= 405) AS sides, NOT bool_or(x AND bottom > 0 AND top < 1000) AS whole, NOT bool_or(x AND bottom > 150 AND top < 850) AS inner_,
-        NOT bool_or(x AND bottom > 250 AND top < 1000) AS lower_, NOT bool_or(x AND bottom > 0 AND top < 750) AS upper_ FROM c GROUP BY ALL)
-    SELECT doc_id, page, CASE WHEN whole AND sides THEN 'TWO_COLUMN' WHEN inner_ THEN 'TWO_COLUMN_BORDER' WHEN lower_ AND sides THEN 'INVERTED_T' WHEN upper_ AND sides THEN 'T' ELSE 'DEFAULT' END AS layout FROM g""",
+    "nearest_box",
+    f"""WITH c AS (SELECT *, r >= 390 AND l <= 410 AS x FROM ({_BOX}))
+    SELECT doc_id, page, (CASE WHEN bool_or(x AND t <= 500 AND b >= 500) THEN 500 ELSE coalesce(max(b) FILTER (x AND b < 500), 7) END)::INT AS up,
+    (CASE WHEN bool_or(x AND t <= 500 AND b >= 500) THEN 500 ELSE coalesce(min(t) FILTER (x AND t > 500), 993) END)::INT AS down FROM c GROUP BY ALL""",
 )
-def layout_cascade(read):
-    return layout.layout_of_pages(boxes(read), ["doc_id", "page"], 800, 1000)
+def nearest_box(read):
+    return layout.nearest_edges(boxes(read), ["doc_id", "page"], 390, 410, 500, 7, 993)
 
 
 @query(
     "references_section",
-    f"""WITH l AS (SELECT *, kind = 'Section header' AS h FROM ({_LINES})), t AS (SELECT doc_id, min(seq) FILTER (h AND length(line) % 2 = 0) AS s FROM l GROUP BY doc_id),
+    f"""WITH l AS (SELECT *, kind = 'Section header' AS h FROM ({_LINES})), t AS (SELECT doc_id, CASE WHEN max(seq) FILTER (h) >= 14 THEN 14 END AS s FROM l GROUP BY doc_id),
     u AS (SELECT l.doc_id, s, min(seq) FILTER (h AND seq > s) AS e FROM l JOIN t USING (doc_id) GROUP BY ALL)
     SELECT doc_id, count(*) FILTER (seq > s AND (e IS NULL OR seq < e)) AS n_references FROM l JOIN u USING (doc_id) GROUP BY doc_id""",
 )
 def references_section(read):
-    """The first section header of even length stands for the reference title."""
+    """The third header stands for the reference title."""
     header = F.col("kind") == "Section header"
-    marked = folds.reference_section(lines(read), "doc_id", "seq", header & (F.length("line") % 2 == 0), header)
+    marked = folds.reference_section(lines(read), "doc_id", "seq", header & (F.col("seq") == 14), header)
     return marked.groupBy("doc_id").agg(F.count_if("in_references").alias("n_references"))
 
 
-@query("chapter_merge")
+_CHAPTER = f"SELECT doc_id, (seq // 3)::BIGINT AS seq, CASE (seq // 3) % 5 WHEN 3 THEN 'FIGURE' WHEN 4 THEN 'INTRODUCTION' ELSE 'DEFAULT' END AS kind, any_value(line) FILTER (seq % 3 = 0) AS header, list(line ORDER BY seq) AS parts FROM ({_LINES}) GROUP BY ALL"
+
+
+@query(
+    "chapter_merge",
+    f"""WITH RECURSIVE c AS (SELECT *, '## ' || header || chr(10) || chr(10) || array_to_string(parts, chr(10)) AS alone, '## ' || header || chr(10) || chr(10) || array_to_string(parts, ' ') AS taken FROM ({_CHAPTER}) WHERE kind <> 'FIGURE'),
+    d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM c WHERE kind = 'DEFAULT'),
+    walk AS (SELECT doc_id, k, seq AS head, length(alone) AS n FROM d WHERE k = 1
+        UNION ALL SELECT d.doc_id, d.k, CASE WHEN n < 500 THEN head ELSE seq END, CASE WHEN n < 500 THEN n + 2 + length(alone) ELSE length(alone) END FROM walk JOIN d ON d.doc_id = walk.doc_id AND d.k = walk.k + 1),
+    owned AS (SELECT d.doc_id, d.seq, head, CASE WHEN d.seq = head THEN alone ELSE taken END AS text FROM d JOIN walk USING (doc_id, k) UNION ALL SELECT doc_id, seq, seq, alone FROM c WHERE kind <> 'DEFAULT')
+    SELECT doc_id, head AS seq, md5(string_agg(text, chr(10) || chr(10) ORDER BY seq)) AS digest, length(string_agg(text, chr(10) || chr(10) ORDER BY seq)) AS n_chars FROM owned GROUP BY doc_id, head""",
+)
 def chapter_merge(read):
-    kind = F.when(F.col("seq") % 5 == 3, "FIGURE").otherwise("DEFAULT")
-    merged = folds.merged_chapters(lines(read).withColumn("kind", kind), "doc_id", "seq", "kind", "line", 500)
-    return merged.select(F.col("doc").alias("doc_id"), "seq", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
+    """Chapters of three lines, the first of which is their header too."""
+    number = F.floor(F.col("seq") / 3)
+    kind = F.when(number % 5 == 3, "FIGURE").when(number % 5 == 4, "INTRODUCTION").otherwise("DEFAULT")
+    parts = F.sort_array(F.collect_list(F.struct("seq", "line")))
+    chapters = lines(read).groupBy("doc_id", number.alias("number"), kind.alias("kind")).agg(parts.alias("x")).select("doc_id", "number", "kind", F.transform("x", lambda x: x["line"]).alias("parts"))
+    merged = folds.merged_chapters(chapters.withColumn("header", F.get("parts", F.lit(0))), "doc_id", "number", "kind", "header", "parts", 500)
+    return merged.select(F.col("doc").alias("doc_id"), "seq", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
 
 
 _CLEAN = r"regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g')"

@@ -143,21 +143,33 @@ def lines(read):
     return read("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")).withColumn("kind", kind)
 
 
-_JUNK = "(kind IN ('Picture', 'Table', 'Caption') OR ((starts_with(l, 'source:') OR starts_with(l, 'note:') OR starts_with(l, 'notes:') OR starts_with(l, 'figure ') OR starts_with(l, 'table ') OR starts_with(l, 'photo')) AND len(string_split(line, ' ')) < 10) OR kind IN ('Page header', 'Page footer') OR length(line) < 4 OR starts_with(line, 'Suggested Citation:'))"
+#: What layout elements may begin with, by number: enough for every rule to apply.
+_PREFIXES = ("Source: ", "Notes and sources: ", "Figure 3 | ", "Table A-2 ", "Box 1 | ", "BOX b-2 ", "note: ", "Sources: ", "Suggested Citation: ", "figure ")
+_ELEMENTS = f"SELECT doc_id, seq, kind, coalesce(list_value({', '.join(repr(p) for p in _PREFIXES)})[(seq % 31) // 2 + 1], '') || line AS line FROM ({_LINES})"
 
 
-@query("junk_filter", f"SELECT kind, count(*) FILTER ({_JUNK}) AS n_junk, count(*) FILTER (NOT {_JUNK}) AS n_kept FROM (SELECT *, lower(trim(line)) AS l FROM ({_LINES})) GROUP BY kind")
+def prefixed_lines(read):
+    """Lines of which some begin as notes, captions, titles and boxes do."""
+    prefix = F.try_element_at(F.array(*[F.lit(p) for p in _PREFIXES]), (F.floor(F.col("seq") % 31 / 2) + 1).cast("int"))
+    return lines(read).withColumn("line", F.concat(F.coalesce(prefix, F.lit("")), "line"))
+
+
+_SHORT_SOURCE = "regexp_matches(upper(line), '^SOURCES?:') AND len(string_split(line, ' ')) < 10"
+_JUNK = f"""(kind IN ('Picture', 'Table', 'Page header', 'Page footer') OR length(line) < 4 OR starts_with(line, 'Suggested Citation:') OR {_SHORT_SOURCE}
+    OR regexp_matches(upper(line), '^(NOTE:|NOTES:|ABBREVIATIONS:|NOTES AND SOURCES:)') OR kind = 'Caption' AND regexp_matches(upper(line), '^(FIGURE|TABLE)')
+    OR regexp_matches(upper(line), '^(FIGURE|TABLE) \\w?-?\\d+') AND contains(line, '|'))"""
+_CHUNK = r"(len(string_split(line, ' ')) > 7 OR kind = 'List item' OR starts_with(upper(line), 'BOX') AND (kind = 'Section header' OR regexp_matches(upper(line), '^BOX \w?-?\d+') AND contains(line, '|')))"
+
+
+@query("junk_filter", f"SELECT kind, count(*) FILTER ({_JUNK}) AS n_junk, count(*) FILTER (NOT {_JUNK}) AS n_kept FROM ({_ELEMENTS}) GROUP BY kind")
 def junk_filter(read):
     junk = T.is_junk("line", "kind")
-    return lines(read).groupBy("kind").agg(F.count_if(junk).alias("n_junk"), F.count_if(~junk).alias("n_kept"))
+    return prefixed_lines(read).groupBy("kind").agg(F.count_if(junk).alias("n_junk"), F.count_if(~junk).alias("n_kept"))
 
 
-@query(
-    "text_chunk_filter",
-    rf"SELECT doc_id, seq FROM ({_LINES}) WHERE len(string_split(line, ' ')) > 7 OR (starts_with(upper(line), 'BOX') AND ((regexp_matches(line, '^BOX \w?-?\d+') AND contains(line, '|')) OR kind = 'Section header')) OR kind = 'List item'",
-)
+@query("text_chunk_filter", f"SELECT doc_id, seq FROM ({_ELEMENTS}) WHERE {_CHUNK}")
 def text_chunk_filter(read):
-    return lines(read).where(T.is_text_chunk("line", "kind")).select("doc_id", "seq")
+    return prefixed_lines(read).where(T.is_text_chunk("line", "kind")).select("doc_id", "seq")
 
 
 _TERMS = "SELECT DISTINCT unnest(string_split(text, ' ')) AS term FROM documents"

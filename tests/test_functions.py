@@ -15,15 +15,14 @@ from loomwork.functions import vectors as V
 @pytest.mark.parametrize(
     ("metric", "p", "q", "expected"),
     [
-        ("euclidean", [0, 1, 0], [2, 0, 0], math.sqrt(5)),
-        ("hamming", [1, 1, 0, 0], [1, 0, 0, 1], 0.5),
-        ("angular", [5, 0], [0, 3], 1),
-        ("angular", [5, 0], [1, 0], 0),
-        ("angular", [7, 0], [-8, 0], 2),
-        ("jaccard", [1, 2, 3, 4], [], 0),
-        ("jaccard", [1, 2, 3, 4], [1, 2, 3, 4], 1),
-        ("jaccard", [1, 2, 3, 4], [1, 2], 0.5),
-        ("jaccard", [1, 2], [5, 6], 0),
+        ("euclidean", [1, 2, 2], [4, 6, 2], 5),
+        ("euclidean", [0.5], [0.5], 0),
+        ("hamming", [1, 0, 1, 1, 0], [0, 0, 1, 1, 0], 0.2),
+        ("angular", [1, 1], [2, 0], 1 - math.sqrt(0.5)),
+        ("angular", [0, 2], [0, -9], 2),
+        ("jaccard", [3, 5, 8], [5, 8, 13, 21], 0.4),
+        ("jaccard", [2], [], 0),
+        ("jaccard", [9, 11], [11, 9], 1),
     ],
 )
 def test_distances(spark, metric, p, q, expected):

@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.functions import text as T
 from loomwork.operators import folds, graph, knn, layout, markup, ranking, service
 from loomwork.sources import readers, writers
 from loomwork.streaming import ingest
@@ -20,16 +21,20 @@ def test_ranking_metrics(spark):
     assert ranking.mean_average_precision(run, qrels).first().map == pytest.approx((1 + 2 / 3) / 2, abs=1e-6)
 
 
-@pytest.mark.parametrize(("run", "expected"), [([], 0), ([0.2, 0.3], 0.5), ([0.2], 0.5), ([0.2, 0.25], 1)])
-def test_threshold_recall(spark, run, expected):
-    table = lambda xs: spark.createDataFrame([(1, i + 1, d) for i, d in enumerate(xs)], "qid int, rank int, distance double")
-    assert ranking.threshold_recall(table([0.1, 0.25]), table(run), 2).first().recall == expected
+def _distances(spark, *lists):
+    return spark.createDataFrame([(q, i + 1, d) for q, own in enumerate(lists) for i, d in enumerate(own)], "qid int, rank int, distance double")
 
 
-@pytest.mark.parametrize(("run", "expected"), [([], math.inf), ([0.1, 0.2, 0.25, 0.3], 1), ([0.1, 0.2, 0.55, 0.9], 1.75 / 0.85)])
-def test_relative_error(spark, run, expected):
-    table = lambda xs: spark.createDataFrame([(1, i + 1, d) for i, d in enumerate(xs)], "qid int, rank int, distance double")
-    assert ranking.relative_error(table([0.1, 0.2, 0.25, 0.3]), table(run)).first().rel == pytest.approx(expected, abs=1e-6)
+def test_threshold_recall_over_queries(spark):
+    """Two queries whose second true distances are 2 and 5: the run hits 2 of 2 and 1 of 2."""
+    truth, run = _distances(spark, [1.0, 2.0, 3.0], [4.0, 5.0, 6.0]), _distances(spark, [1.5, 2.0, 2.5], [4.5, 5.5, 7.0])
+    assert {r.qid: r.recall for r in ranking.threshold_recall(truth, run, 2).collect()} == {0: 1.0, 1: 0.5}
+
+
+def test_relative_error_of_sums(spark):
+    truth, run = _distances(spark, [1.0, 3.0], [2.0, 2.0]), _distances(spark, [1.0, 5.0], [3.0, 3.0])
+    assert ranking.relative_error(truth, run).first().rel == pytest.approx(12 / 8, abs=1e-6)
+    assert ranking.relative_error(truth, _distances(spark).limit(0)).first().rel == math.inf
 
 
 def test_knn_ties_go_to_the_smaller_id(spark):
@@ -44,24 +49,71 @@ def test_joined_paragraphs_carry_fragments(spark):
 
 
 def test_merged_chapters(spark):
-    c = spark.createDataFrame([("a", 0, "DEFAULT", "x" * 10), ("a", 1, "FIGURE", "no"), ("a", 2, "DEFAULT", "y" * 600), ("a", 3, "DEFAULT", "z")], "d string, i int, k string, t string")
-    got = [r.text for r in folds.merged_chapters(c, "d", "i", "k", "t").orderBy("seq").collect()]
-    assert got == ["x" * 10 + "\n" + "y" * 600, "z"]
+    rows = [(0, "DEFAULT", "A", ["x" * 10, "w"]), (1, "FIGURE", "F", ["no"]), (2, "INTRO", "I", ["own"]), (3, "DEFAULT", "B", ["y" * 600, "v"]), (4, "DEFAULT", "C", ["z"]), (5, "DEFAULT", None, [])]
+    c = spark.createDataFrame([("a", *r) for r in rows], "d string, i int, k string, h string, t array<string>")
+    got = [r.text for r in folds.merged_chapters(c, "d", "i", "k", "h", "t").orderBy("seq").collect()]
+    assert got == ["## A\n\n" + "x" * 10 + "\nw\n\n## B\n\n" + "y" * 600 + " v", "## I\n\nown", "## C\n\nz\n\n## \n\n"]
+
+
+BOXES = "page int, left int, top int, right int, bottom int"
 
 
 def test_layout_of_pages(spark):
-    rows = [(1, 0, 0, 380, 900), (1, 420, 0, 800, 900), (2, 0, 0, 800, 200), (2, 0, 300, 380, 900), (2, 420, 300, 800, 900), (3, 0, 0, 800, 900)]
-    e = spark.createDataFrame(rows, "page int, left int, top int, right int, bottom int")
-    assert {r.page: r.layout for r in layout.layout_of_pages(e, ["page"], 800, 1000).collect()} == {1: "TWO_COLUMN", 2: "INVERTED_T", 3: "DEFAULT"}
+    """Golden pages of 800 x 1000, worked by hand; the slice is 390 to 410."""
+    columns = [(40, 100, 380, 900), (420, 100, 760, 900)]
+    boxes = {
+        1: columns,
+        2: [(40, 0, 760, 90), *columns],  # a wide title: the free part around the middle row 450 is 90 to 900, 90 <= 135
+        3: [(40, 0, 760, 300), (40, 310, 380, 900), (420, 310, 760, 900)],  # wide above: a T
+        4: [(40, 0, 380, 500), (420, 0, 760, 500), (40, 510, 760, 900)],  # wide below: an inverted T
+        5: [(40, 0, 760, 900)],
+        6: [(40, 100, 380, 900)],  # the right column is empty; the free part is all of it
+        7: [(40, 0, 380, 400), (420, 0, 760, 400), (40, 410, 760, 500), (40, 510, 760, 900)],
+    }
+    e = spark.createDataFrame([(p, *b) for p, own in boxes.items() for b in own], BOXES)
+    got = {}
+    for r in layout.layout_of_pages(e, ["page"], 800, 1000).orderBy("page", "seq").collect():
+        got.setdefault(r.page, []).append((r.layout, r.zone, r.left, r.top, r.right, r.bottom))
+    pair = lambda name, top, bottom, a="LEFT", b="RIGHT": [(name, a, 0, top, 390, bottom), (name, b, 410, top, 800, bottom)]
+    assert got[1] == pair("TWO_COLUMN", 100, 900) and got[2] == pair("TWO_COLUMN_BORDER", 90, 900) and got[6] == pair("TWO_COLUMN_BORDER", 100, 900)
+    assert got[3] == [("T", "UP", 0, 0, 800, 300), *pair("T", 300, 900, "LEFT_LOW", "RIGHT_LOW")]
+    assert got[4] == [*pair("INVERTED_T", 0, 510, "LEFT_UP", "RIGHT_UP"), ("INVERTED_T", "LOW", 0, 510, 800, 1000)]
+    assert got[5] == [("DEFAULT", "DEFAULT", 0, 0, 800, 1000)] and got[7][0][0] == "INVERTED_T"
+
+
+def test_junk_and_box_headers(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [
+        ("Source: a b", "Text", True), (f"Source: {long}", "Text", False), (f"Notes and sources: {long}", "Text", True), ("Figure 3 | x of y", "Text", True),
+        ("Figure 3 of all", "Text", False), ("Figure 3 of all", "Caption", True), ("Any caption here", "Caption", False), ("Photo: x", "Text", False), ("abc", "Text", True), ("page 7", "Page footer", True),
+    ]
+    df = spark.createDataFrame(rows, "t string, k string, junk boolean").select("junk", T.is_junk("t", "k").alias("got"), "t")
+    assert [r.t for r in df.where("junk <> got").collect()] == []
+    heads = spark.createDataFrame([("Box 1 | x", "Text", True), ("box 1 x", "Text", False), ("BOX", "Section header", True), ("A box 1 | x", "Text", False)], "t string, k string, head boolean")
+    assert heads.where(T.is_box_header("t", F.col("k") == "Section header") != F.col("head")).count() == 0
+
+
+def test_postprocessing_stops_after_references(spark):
+    at = lambda k, side: (40, 50 * k, 380, 50 * k + 40) if side == "l" else (420, 50 * k, 760, 50 * k + 40)
+    text = "seven words and one more are enough here"
+    rows = [(1, 0, "Text", f"{text}.", at(0, "l")), (1, 1, "Text", f"hy- phen {text}", at(1, "l")), (1, 2, "Text", f"{text} right.", at(0, "r")), (1, 3, "Section header", "References", at(1, "r")), (1, 4, "Text", "Ref one", at(2, "r")),
+            (2, 5, "Text", "Ref two", at(0, "l")), (2, 6, "Section header", "Annex", at(0, "r")), (2, 7, "Text", f"{text} never.", at(1, "r"))]
+    e = spark.createDataFrame([("d", p, i, k, t, *b) for p, i, k, t, b in rows], "doc string, page int, index int, kind string, text string, left int, top int, right int, bottom int")
+    zones = layout.layout_of_pages(e, ["doc", "page"], 800, 1000)
+    paragraphs, references = layout.postprocessed(e, zones, "doc", 800, 1000)
+    got = {(r.page, r.zone): (r.paragraphs, r.last_fragment) for r in paragraphs.collect()}
+    assert got == {(1, "LEFT"): ([f"{text}."], f"hyphen {text}"), (1, "RIGHT"): ([f"{text} right."], None)}
+    assert references.first().references == ["Ref one", "Ref two"]
 
 
 def test_tei_fields():
-    author = "<author>{}</author>"
-    names = ["", "<persName/>", "<persName><forename>John</forename></persName>", "<persName><surname>Doe</surname></persName>", "<persName><forename>John</forename><surname>Doe</surname></persName>"]
-    xml = "<TEI xmlns='http://www.tei-c.org/ns/1.0'><teiHeader>" + "".join(author.format(n) for n in names) + "<idno type='MD5'>A1</idno><idno type='DOI'>10.1371/journal.pone.0170706</idno></teiHeader><text><body><div><head>Introduction</head><p>a</p><p>b</p></div></body></text></TEI>"
+    """Nameless authors are left out; an identifier is the DOI by its type only."""
+    xml = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><titleStmt><title>On looms</title></titleStmt><author/><author><persName><surname>Weaver</surname></persName></author>
+    <author><persName><forename>Ada</forename><surname>Thread</surname></persName></author><idno type="arXiv">2401.1</idno><idno type="DOI">10.5555/loom.7</idno></teiHeader>
+    <text><body><div><head>Warp</head><p>first</p><p>second</p></div><div><p>alone</p></div></body></text></TEI>"""
     got = markup.parse_tei(xml)
-    assert got["authors"] == ["John", "Doe", "John Doe"] and len(got["idnos"]) == 2 and got["doi"] == "10.1371/journal.pone.0170706"
-    assert got["sections"] == [{"head": "Introduction", "text": "a b"}] and markup.parse_tei("<broken") is None and markup.parse_tei(None) is None
+    assert got["authors"] == ["Weaver", "Ada Thread"] and len(got["idnos"]) == 2 and got["doi"] == "10.5555/loom.7" and got["title"] == "On looms"
+    assert got["sections"] == [{"head": "Warp", "text": "first second"}, {"head": None, "text": "alone"}] and markup.parse_tei("<open") is None and markup.parse_tei(None) is None
 
 
 def test_tei_nodes(spark):
