@@ -47,8 +47,21 @@ def distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     raise ValueError(f"unknown metric {metric}")
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "angular", id_column: str = "vec_id", vector_column: str = "embedding", digits: int = 6, block: int = 2048) -> DataFrame:
-    """(qid, did, distance, rank): the ``k`` nearest others of each query; ties of rounded distances by id."""
+def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``k`` smallest finite values of each row, ties by id; only what reaches the k-th value is sorted."""
+    if d.shape[1] > k:
+        i, j = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        i, j = np.nonzero(np.isfinite(d))
+    order = np.lexsort((ids[j], d[i, j], i))
+    i, j = i[order], j[order]
+    first = np.searchsorted(i, np.arange(len(d)))
+    keep = (np.arange(len(i)) - first[i] < k) & np.isfinite(d[i, j])
+    return i[keep], j[keep]
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "angular", id_column: str = "vec_id", vector_column: str = "embedding", digits: int = 6, block: int = 2048, others: bool = True) -> DataFrame:
+    """(qid, did, distance, rank): the ``k`` nearest of each query; ``others``: not itself, by id.  Ties of rounded distances by id."""
     pairs = packed(queries, id_column, vector_column, block).select(F.col("ids").alias("qids"), "dim", F.col("data").alias("qdata")).crossJoin(
         packed(corpus, id_column, vector_column, block).select("ids", "data")
     )
@@ -58,17 +71,22 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "angular",
             for qids, dim, qdata, ids, data in p.itertuples(index=False):
                 a, b = (np.frombuffer(x, "<f8").reshape(-1, dim) for x in (qdata, data))
                 d = np.round(distances(metric, a, b), digits) + 0.0
-                ids = np.asarray(ids)
-                d[np.asarray(qids)[:, None] == ids[None, :]] = np.inf
-                best = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :k]
-                out = pd.DataFrame({"qid": np.repeat(qids, best.shape[1]), "did": ids[best.ravel()], "distance": np.take_along_axis(d, best, 1).ravel()})
-                yield out[np.isfinite(out["distance"])]
+                qids, ids = np.asarray(qids), np.asarray(ids)
+                if others:
+                    d[qids[:, None] == ids[None, :]] = np.inf
+                i, j = smallest(d, ids, k)
+                yield pd.DataFrame({"qid": qids[i], "did": ids[j], "distance": d[i, j]})
 
     near = pairs.mapInPandas(run, "qid long, did long, distance double")
     order = Window.partitionBy("qid").orderBy("distance", "did")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "angular", id_column: str = "vec_id", vector_column: str = "embedding", digits: int = 6, block: int = 2048) -> DataFrame:
+    """(qid, did, distance, rank): the ``k`` nearest others of each query; ties of rounded distances by id."""
+    return nearest(queries, corpus, k, metric, id_column, vector_column, digits, block)
+
+
 def every_hundredth(df: DataFrame, id_column: str = "vec_id") -> DataFrame:
     """The stated query set: rows whose id is divisible by 100."""
     return df.where(F.col(id_column) % 100 == 0)

@@ -31,8 +31,9 @@ def links(html: str | Column) -> Column:
 
 
 def blocks(html: str | Column, tags: tuple[str, ...] = ("h1", "h2", "h3", "h4", "p", "li")) -> Column:
-    """Non-empty texts of closed block elements, in order."""
-    found = F.regexp_extract_all(cleaned(html), F.lit(rf"(?is)<({'|'.join(tags)})\b[^>]*>(.*?)</\1>"), 2)
+    """Non-empty texts of closed block elements, in order; figures and frames are dropped with what they hold."""
+    kept = F.regexp_replace(cleaned(html), r"(?is)<(figure|iframe)\b[^>]*>.*?</\1>", "")
+    found = F.regexp_extract_all(kept, F.lit(rf"(?is)<({'|'.join(tags)})\b[^>]*>(.*?)</\1>"), 2)
     texts = F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"\s+", " ")))
     return F.filter(texts, lambda t: t != "")
 

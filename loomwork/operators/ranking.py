@@ -104,3 +104,68 @@ def pareto(points: DataFrame, x: str, y: str, x_larger: bool = True, y_larger: b
     before = (F.max if x_larger else F.min)(x).over(order)
     beats = F.col(x) > before if x_larger else F.col(x) < before
     return rows.withColumn("_keep", F.coalesce(beats, F.lit(True))).where("_keep").drop("_keep")
+
+
+#: What a metric of approximate search means: its worst value and whether larger values are better.
+REGISTRY = {
+    "recall": ("share of the true neighbours' distances reached", 0.0, True),
+    "epsilon_01": ("recall with distances 1 per cent larger", 0.0, True),
+    "epsilon_10": ("recall with distances 10 per cent larger", 0.0, True),
+    "rel": ("relative error of distances", float("inf"), False),
+    "qps": ("queries a second", 0.0, True),
+    "p50": ("median of times, in thousandths", float("inf"), False),
+    "p95": ("95th percentile of times, in thousandths", float("inf"), False),
+    "p99": ("99th percentile of times, in thousandths", float("inf"), False),
+}
+
+
+def all_metrics(truth: DataFrame, hits: DataFrame, times: DataFrame, k: int) -> DataFrame:
+    """One row per run with every metric of ``REGISTRY``; ``hits`` has run, qid, rank, distance, ``times`` run and seconds.
+
+    All metrics come from one join of the hits with the limits of their queries and one aggregation.
+    """
+    limit = truth.where(F.col("rank") == k).select("qid", F.col("distance").alias("limit"))
+    true = truth.where(F.col("rank") <= k).select("qid", "rank", F.col("distance").alias("true"))
+    queries = limit.agg(F.count(F.lit(1)).alias("n"))
+    near = hits.where(F.col("rank") <= k).join(limit, "qid").join(true, ["qid", "rank"], "left")
+    within = lambda x: F.count_if(F.col("distance") <= x) / k
+    total = F.coalesce(F.sum("true"), F.lit(0.0))
+    found = near.groupBy("run").agg(
+        within(F.col("limit") + 1e-3).alias("recall"), within(F.col("limit") * 1.01).alias("epsilon_01"), within(F.col("limit") * 1.1).alias("epsilon_10"),
+        F.when(total < 0.01, F.lit(float("inf"))).otherwise(F.sum(F.when(F.col("true").isNotNull(), F.col("distance"))) / total).alias("rel"),
+    )
+    speed = times.groupBy("run").agg(
+        ratio(F.lit(1.0), F.avg("seconds")).alias("qps"), *[(F.percentile("seconds", p) * 1000).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))]
+    )
+    recalls = [F.round(F.col(m) / F.col("n"), 6).alias(m) for m in ("recall", "epsilon_01", "epsilon_10")]
+    return found.crossJoin(F.broadcast(queries)).join(speed, "run").select("run", *recalls, *[F.round(m, 6).alias(m) for m in ("rel", "qps", "p50", "p95", "p99")])
+
+
+def padded(hits: DataFrame, count: int) -> DataFrame:
+    """(qid, neighbors, distances) of exactly ``count`` entries, missing ones -1 and infinite."""
+    lists = hits.where(F.col("rank") <= count).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "did", "distance"))).alias("x"))
+    missing = F.lit(count) - F.size("x")
+    return lists.select(
+        "qid",
+        F.concat(F.transform("x", lambda h: h["did"].cast("long")), F.array_repeat(F.lit(-1).cast("long"), missing)).alias("neighbors"),
+        F.concat(F.transform("x", lambda h: h["distance"].cast("double")), F.array_repeat(F.lit(float("inf")), missing)).alias("distances"),
+    )
+
+
+def profile(runs: DataFrame, by: str, queries: str, seconds: str) -> DataFrame:
+    """Queries, seconds and queries a second of each group; 0 where no time passed."""
+    return runs.groupBy(by).agg(F.sum(queries).alias("queries"), F.round(F.sum(seconds), 6).alias("seconds"), F.round(ratio(F.sum(queries), F.sum(seconds)), 6).alias("qps"))
+
+
+def evaluated(runs: dict[str, DataFrame], qrels: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """A wide row for each method's run, in one job: the runs are one table, their queries told apart by method."""
+    parts = [run.select(F.struct(F.lit(m).alias("method"), F.col("qid").alias("qid")).alias("qid"), "did", "rank") for m, run in runs.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    asked = whole.select("qid").distinct().select("qid", F.col("qid.qid").alias("q"))
+    relevant = asked.join(qrels.select(F.col("qid").alias("q"), "did"), "q").select("qid", "did")
+    q = per_query(whole, relevant, ks).withColumn("method", F.col("qid.method"))
+    values = {"mrr": ratio(F.lit(1.0), F.col("first_rank")), "ndcg": ratio(F.col("dcg"), F.col("ideal")), "precision": ratio(F.col("n_hits"), F.col("k")), "recall": ratio(F.col("n_hits"), F.col("n_relevant")), "hit_rate": (F.col("n_hits") > 0).cast("double")}
+    long = q.select("method", "k", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()])).alias("x"))
+    return wide(long.groupBy("method", "x.metric", "k").agg(F.round(F.avg("x.value"), 6).alias("value")))

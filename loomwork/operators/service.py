@@ -55,6 +55,55 @@ def merged_datasets(one: DataFrame, two: DataFrame, key: str, prefix: str = "ds2
     return one.unionByName(renamed)
 
 
+def merged_retrieval_sets(one: tuple[DataFrame, DataFrame, DataFrame], two: tuple[DataFrame, DataFrame, DataFrame], prefix: str = "ds2_") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Queries (qid, text), corpus (did, text) and judgements (qid, did) of two data sets; ids of the second that clash are
+    renamed in its tables and in its judgements alike."""
+    queries, corpus = merged_datasets(one[0], two[0], "qid", prefix), merged_datasets(one[1], two[1], "did", prefix)
+    judgements = two[2]
+    for key, k in (("qid", 0), ("did", 1)):
+        taken = one[k].select(key).distinct().withColumn("_taken", F.lit(True))
+        judgements = judgements.join(taken, key, "left").withColumn(key, F.when(F.col("_taken"), F.concat(F.lit(prefix), F.col(key))).otherwise(F.col(key))).drop("_taken")
+    return queries, corpus, one[2].unionByName(judgements)
+
+
+def scoped(df: DataFrame, **equal: object) -> DataFrame:
+    """Rows whose columns equal all given values."""
+    for column, value in equal.items():
+        df = df.where(F.col(column) == F.lit(value))
+    return df
+
+
+def with_content(df: DataFrame, text: str, least: int, most: int, *order: Column) -> DataFrame:
+    """The first ``most`` rows, in order, whose trimmed text has at least ``least`` characters."""
+    return df.where(F.length(F.trim(text)) >= least).orderBy(*order).limit(most)
+
+
+def with_children(parents: DataFrame, children: DataFrame, key: str, child: Column, name: str) -> DataFrame:
+    """Parents with the sorted list of their children; an empty list where there is none."""
+    lists = children.groupBy(key).agg(F.sort_array(F.collect_list(child)).alias(name))
+    return parents.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array()))
+
+
+def enriched(df: DataFrame, items: str, settings: str, key: str = "configuration_id", value: str = "configuration") -> DataFrame:
+    """Fills ``value`` of the structs in ``items`` from a map by ``key``, only where it is missing and known."""
+    filled = lambda x: x.withField(value, F.coalesce(x[value], F.try_element_at(F.col(settings), x[key])))
+    return df.withColumn(items, F.transform(items, filled))
+
+
+def agent_reference(sources: Column, title: Column, content: Column) -> Column:
+    """Title, link of the first of several sources (literals between ``;{``) and text of a JSON content, with defaults."""
+    first = F.split_part(F.coalesce(sources, F.lit("")), F.lit(";{"), F.lit(1))
+    link = F.regexp_extract(first, r"""['"]link['"]\s*:\s*['"]([^'"]*)['"]""", 1)
+    return F.struct(F.coalesce(title, F.lit("Unknown")).alias("title"), link.alias("url"), F.coalesce(F.get_json_object(content, "$.text"), F.lit("")).alias("text"))
+
+
+def split_by_count(df: DataFrame, key: str, test_rows: int, seed: str = "1") -> DataFrame:
+    """``part`` is test for the ``test_rows`` rows with the smallest md5(key, seed), else train."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))
+    chosen = df.select(key).orderBy(digest, key).limit(test_rows).withColumn("part", F.lit("test"))
+    return df.join(chosen, key, "left").withColumn("part", F.coalesce("part", F.lit("train")))
+
+
 def split_by_hash(df: DataFrame, key: str, share: float, seed: str = "") -> DataFrame:
     """``part`` is train for exactly int(n * share) rows in the order of md5(key, seed), else val.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.plans import registry, retrieval, service, structure, text  # noqa: F401
+from loomwork.plans import content, registry, retrieval, service, structure, text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,17 +47,6 @@ def l2_normalize(read):
     return n.select("vec_id", "length", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query(
-    "cosine_edges",
-    f"WITH {_Q} SELECT qid AS source, did AS target, round(list_cosine_similarity(qe, e), 4) AS score FROM q, c WHERE qid <> did AND list_cosine_similarity(qe, e) >= 0.3",
-)
-def cosine_edges(read):
-    """Edges from every hundredth vector to all others with cosine 0.3 or more."""
-    e = read("embeddings")
-    near = K.similar_pairs(K.every_hundredth(e), e, 0.3)
-    return near.select(F.col("qid").alias("source"), F.col("did").alias("target"), F.round("similarity", 4).alias("score"))
-
-
 @query(
     "cosine_links",
     f"WITH c AS (SELECT vec_id, {_V} AS e FROM embeddings) SELECT a.vec_id AS source, b.vec_id AS target, round(list_cosine_similarity(a.e, b.e), 4) AS score FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3",
@@ -183,7 +172,7 @@ _GRID = {"metric": ["angular", "euclidean"], "lists": ["16", "64", "256"], "prob
 
 @query("param_grid", "SELECT * FROM " + ", ".join(f"(VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in v)}) t{i}({k})" for i, (k, v) in enumerate(_GRID.items())))
 def param_grid(read):
-    one = read("region").limit(1).select(F.lit(1).alias("one"))
+    one = read("region").sparkSession.range(1).withColumnRenamed("id", "one")
     return reduce(lambda df, kv: df.withColumn(kv[0], F.explode(F.array(*[F.lit(x) for x in kv[1]]))), _GRID.items(), one).drop("one")
 
 
@@ -211,6 +200,30 @@ def ivf_topk(read):
     return K.ivf_search(K.every_hundredth(e), e, 10, lists=16, probes=10)
 
 
+def _recall(read, found) -> object:
+    """Share of the true ten nearest that an index returns, over all queries."""
+    both = _run(read, 10).select("qid", "did").join(found.select("qid", "did").distinct(), ["qid", "did"])
+    total = _run(read, 10).agg(F.count(F.lit(1)).alias("n"))
+    return both.agg(F.count(F.lit(1)).alias("hits")).crossJoin(total).select((F.col("hits") >= 0.9 * F.col("n")).alias("reached"))
+
+
+@query("ivf_recall", "SELECT true AS reached")
+def ivf_recall(read):
+    return _recall(read, ivf_topk(read))
+
+
+@query("lsh_recall", "SELECT true AS reached")
+def lsh_recall(read):
+    return _recall(read, lsh_topk(read))
+
+
+@query("knn_all", f"WITH c AS (SELECT vec_id, {_V} AS e FROM embeddings), d AS (SELECT a.vec_id AS qid, b.vec_id AS did, round(1 - list_cosine_similarity(a.e, b.e), 6) AS distance FROM c a JOIN c b ON a.vec_id <> b.vec_id) SELECT qid, did, distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, did) AS rank FROM d) WHERE rank <= 10")
+def knn_all(read):
+    """The ten nearest others of every vector."""
+    e = read("embeddings")
+    return K.knn(e, e, 10)
+
+
 @query("lsh_topk")
 def lsh_topk(read):
     e = read("embeddings")

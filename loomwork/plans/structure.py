@@ -225,26 +225,14 @@ def synonym_merge(read):
 
 
 _ITEMS = "SELECT DISTINCT o_custkey AS id, 'priority' AS field, o_orderpriority AS item FROM orders UNION SELECT DISTINCT o_custkey, 'status', o_orderstatus FROM orders"
-_KG = f"""WITH n AS (SELECT * FROM ({_ITEMS}) WHERE id % 100 = 0), s AS (SELECT a.field, a.item AS x, b.item AS y FROM (SELECT DISTINCT field, item FROM n) a JOIN (SELECT DISTINCT field, item FROM n) b USING (field) WHERE jaro_winkler_similarity(a.item, b.item) >= 0.9),
+_KG = f"""WITH n AS ({_ITEMS}), s AS (SELECT a.field, a.item AS x, b.item AS y FROM (SELECT DISTINCT field, item FROM n) a JOIN (SELECT DISTINCT field, item FROM n) b USING (field) WHERE jaro_winkler_similarity(a.item, b.item) >= 0.9),
     z AS (SELECT id, field, count(*) AS c FROM n GROUP BY ALL), f AS (SELECT id, count(DISTINCT field) AS k FROM n GROUP BY id),
     m AS (SELECT a.id AS source, b.id AS target, a.field, count(DISTINCT a.item) AS mx, count(DISTINCT b.item) AS my FROM n a JOIN s ON s.field = a.field AND s.x = a.item JOIN n b ON b.field = s.field AND b.item = s.y WHERE a.id < b.id GROUP BY ALL)
     SELECT source, target, round(sum((mx / zx.c + my / zy.c) / 2) / any_value(k), 6) AS score FROM m JOIN z zx ON zx.id = source AND zx.field = m.field JOIN z zy ON zy.id = target AND zy.field = m.field JOIN f ON f.id = source GROUP BY source, target"""
 
 
-@query("kg_overlap_edges", f"SELECT * FROM ({_KG}) WHERE score >= 0.9")
-def kg_overlap_edges(read):
-    """Edges among the stated nodes: every hundredth customer, with the priorities and states of their orders."""
-    o = read("orders").where("o_custkey % 100 = 0")
-    items = o.select(F.col("o_custkey").alias("id"), F.lit("priority").alias("field"), F.col("o_orderpriority").alias("item")).unionByName(
-        o.select(F.col("o_custkey").alias("id"), F.lit("status").alias("field"), F.col("o_orderstatus").alias("item"))
-    )
-    items = items.distinct().withColumn("ord", F.col("id"))
-    return graph.overlap_edges(items, graph.similar_items(graph.vocabulary(items), 0.9), 0.9)
-
-
 # All customers: edges of nodes follow from classes of equal item sets, so the self join compares classes.
 _KG_CLASS = "SELECT id, min(id) OVER (PARTITION BY items) AS class FROM (SELECT id, list(field || '|' || item ORDER BY field, item) AS items FROM n GROUP BY id)"
-_KG_ALL = _KG.replace(" WHERE id % 100 = 0", "")
 
 
 def _customer_items(read):
@@ -257,19 +245,13 @@ def kg_overlap_classes(read):
     return graph.item_classes(_customer_items(read))
 
 
-@query("kg_overlap_class_edges", f"WITH n AS ({_ITEMS}), k AS ({_KG_CLASS}), e AS ({_KG_ALL}) SELECT DISTINCT a.class AS source, b.class AS target, score FROM e JOIN k a ON a.id = e.source JOIN k b ON b.id = e.target WHERE score >= 0.24")
+@query("kg_overlap_class_edges", f"WITH n AS ({_ITEMS}), k AS ({_KG_CLASS}), e AS ({_KG}) SELECT DISTINCT a.class AS source, b.class AS target, score FROM e JOIN k a ON a.id = e.source JOIN k b ON b.id = e.target WHERE score >= 0.24")
 def kg_overlap_class_edges(read):
     """Edges among all customers, by the classes of ``kg_overlap_classes``."""
     items = _customer_items(read)
     return graph.class_edges(items, graph.item_classes(items), graph.similar_items(graph.vocabulary(items), 0.9), 0.24)
 
 
-@query("vocabulary_repair", r"WITH v AS (SELECT DISTINCT term FROM (SELECT lower(unnest(string_split(text, ' '))) AS term FROM benchmark) WHERE regexp_full_match(term, '[\p{L}]{6,}')), w AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}-]+')) AS term FROM documents) SELECT id, term FROM w SEMI JOIN v USING (term)")
-def vocabulary_repair(read):
-    terms = read("benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term")).where(F.col("term").rlike(r"^\p{L}{6,}$")).distinct()
-    return graph.repaired(read("documents").select(F.col("doc_id").alias("id"), "text"), terms)
-
-
 @query("vocabulary_containment", "WITH v AS (SELECT DISTINCT term FROM (SELECT lower(unnest(string_split(text, ' '))) AS term FROM benchmark)) SELECT doc_id AS id, term FROM documents, v WHERE contains(lower(text), term)")
 def vocabulary_containment(read):
     """The whole vocabulary, as substrings."""

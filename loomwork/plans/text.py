@@ -77,22 +77,6 @@ def sparse_dot(read):
     return L.top(L.sparse_dot(_as_queries(w), w).where("qid <> did").select("qid", "did", F.round("score", 6).alias("score")), 10)
 
 
-@query(
-    "hybrid_topk",
-    f"""WITH {_SPARSE}, p AS (SELECT x.did AS qid, u.did, sum(x.weight * u.weight) AS score FROM x JOIN u USING (term) WHERE x.did <> u.did GROUP BY ALL),
-    e AS (SELECT a.vec_id AS qid, b.vec_id AS did, 1 - (round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
-    h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS r FROM e), g AS (SELECT * FROM h WHERE r <= 50),
-    f AS (SELECT coalesce(g.qid, p.qid) AS qid, coalesce(g.did, p.did) AS did, round(0.7 * coalesce(g.score, 0) + 0.3 * coalesce(p.score, 0), 6) AS score FROM g FULL JOIN p ON g.qid = p.qid AND g.did = p.did)
-    SELECT qid, did, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM f) WHERE rank <= 10""",
-)
-def hybrid_topk(read):
-    """Documents and vectors of one id fused: 0.7 of the dense (fifty nearest) and 0.3 of the sparse similarity."""
-    e = read("embeddings")
-    dense = K.knn(K.every_hundredth(e), e, 50).select("qid", "did", (1 - F.col("distance")).alias("score"))
-    w = _weights(read)
-    return L.top(L.fused(dense, L.sparse_dot(_as_queries(w), w).where("qid <> did")), 10)
-
-
 @query(
     "hybrid_full_topk",
     f"""WITH {_SPARSE}, p AS (SELECT x.did AS qid, u.did, sum(x.weight * u.weight) AS score FROM x JOIN u USING (term) WHERE x.did <> u.did GROUP BY ALL),
@@ -101,7 +85,7 @@ def hybrid_topk(read):
     SELECT qid, did, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM f) WHERE rank <= 10""",
 )
 def hybrid_full_topk(read):
-    """The fusion of ``hybrid_topk`` with the dense similarity of every vector to each query."""
+    """Documents and vectors of one id fused: 0.7 of the dense similarity of every vector to each query and 0.3 of the sparse."""
     e = read("embeddings")
     w = _weights(read)
     return L.top(_all_fused(e, L.sparse_dot(_as_queries(w), w).where("qid <> did")), 10)

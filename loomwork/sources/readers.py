@@ -95,7 +95,7 @@ def written_vectors(vectors: DataFrame, column: str = "vector") -> DataFrame:
 def named_vectors(lines: DataFrame, column: str = "value") -> DataFrame:
     """(word, vector) of lines with a word before its numbers."""
     parts = F.split(F.trim(F.col(column)), r"\s+")
-    return lines.select(F.get(parts, F.lit(0)).alias("word"), F.transform(F.slice(parts, 2, 1_000_000), lambda x: x.cast("double")).alias("vector"))
+    return lines.select(F.get(parts, F.lit(0)).alias("word"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x.cast("double")).alias("vector"))
 
 
 def binary_vectors(spark: SparkSession, path: str, kind: str = "fvecs") -> DataFrame:
@@ -140,3 +140,93 @@ def synthetic_vectors(spark: SparkSession, n: int, dim: int, centres: int = 10,
     base = spark.range(n).withColumn("label", (F.col("id") % centres).cast("int"))
     parts = [F.randn(seed + k) * 0.3 + F.sin(F.col("label") * (k + 1)) for k in range(dim)]
     return base.select("id", "label", F.array(*parts).alias("vector"))
+
+
+def bit_strings(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """Vectors of 0 and 1 by the signs of numbers."""
+    return vectors.withColumn(column, F.transform(column, lambda x: (x > 0).cast("int")))
+
+
+def written_bits(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """The inverse of ``text_vectors`` for bits: four digits, then a space."""
+    digits = F.array_join(F.transform(column, lambda x: x.cast("string")), "")
+    return vectors.select(F.rtrim(F.regexp_replace(digits, "(.{4})", "$1 ")).alias("value"))
+
+
+def idx_images(spark: SparkSession, path: str) -> DataFrame:
+    """(file, index, vector) of IDX files of unsigned bytes: each item of the first dimension is one vector."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import gzip
+
+        import numpy as np
+
+        for p in parts:
+            for file, content in zip(p["path"], p["content"], strict=True):
+                raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
+                rank = raw[3]
+                shape = struct.unpack(f">{rank}I", raw[4 : 4 + 4 * rank])
+                rows = np.frombuffer(raw, np.uint8, offset=4 + 4 * rank).reshape(shape[0], -1)
+                for k in range(0, len(rows), 10_000):
+                    yield pd.DataFrame({"file": file, "index": range(k, k + len(rows[k : k + 10_000])), "vector": list(rows[k : k + 10_000].astype("float64"))})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, index long, vector array<double>")
+
+
+def bags_of_words(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(doc, word, n) of lines with three numbers; other lines, such as the head, are left out."""
+    parts = F.split(F.trim(F.col(column)), r"\s+")
+    return lines.where(F.size(parts) == 3).select(*[F.get(parts, F.lit(k)).cast("long").alias(n) for k, n in enumerate(("doc", "word", "n"))])
+
+
+def dimension(vectors: DataFrame, column: str = "vector") -> int | None:
+    """Length of the first vector; null for an empty table."""
+    row = vectors.select(F.size(column).alias("n")).first()
+    return row.n if row else None
+
+
+def fetched(urls: DataFrame, fetch, attempts: int = 3, wait=None, column: str = "url") -> DataFrame:
+    """(url, html): what ``fetch(url)`` gives; after a failure it waits the square of the attempt in seconds, and after the last
+    the text is null."""
+    import time
+
+    pause = wait or time.sleep
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for url in p["url"]:
+                text = None
+                for k in range(1, attempts + 1):
+                    try:
+                        text = fetch(url)
+                        break
+                    except OSError:
+                        if k < attempts:
+                            pause(k * k)
+                out.append((url, text))
+            yield pd.DataFrame(out, columns=["url", "html"])
+
+    return urls.select(F.col(column).alias("url")).mapInPandas(run, "url string, html string")
+
+
+def only_entry(config: dict, section: str) -> tuple[str, dict]:
+    """Name and arguments of the one entry of a configuration's section; none or several raise."""
+    entries = config.get(section) or {}
+    if len(entries) != 1:
+        raise ValueError(f"{section} must have exactly one entry, not {len(entries)}")
+    return next(iter(entries.items()))
+
+
+def substituted(arguments: object, values: dict[str, object]) -> object:
+    """Arguments with names like ``@dimension`` replaced by values, in lists and dictionaries alike."""
+    if isinstance(arguments, dict):
+        return {k: substituted(v, values) for k, v in arguments.items()}
+    if isinstance(arguments, list):
+        return [substituted(v, values) for v in arguments]
+    return values.get(arguments, arguments) if isinstance(arguments, str) else arguments
+
+
+def column_at(df: DataFrame, position: int) -> DataFrame:
+    """The column at a position, from the end if it is negative."""
+    return df.select(df.columns[position])
