@@ -381,3 +381,45 @@ def test_byte_encoder_equals_the_library():
     t, e = library("byte_bpe_50k.json"), packing.byte_encoder()
     for x in ["", " ", "a  b\n\n c ", " lead", "tail ", "it's  don't\tx", "a b  c　d", "x <|endoftext|>y", "\x1ca b\x85c d"]:
         assert np.frombuffer(e(x.encode()), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+def test_very_long_texts(spark):
+    """Texts of 30,000 words, one an edited copy of the other, beside short ones."""
+    import random
+
+    r = random.Random(11)
+    words = [f"v{r.randrange(9000)}" for _ in range(30_000)]
+    edited = [*words[:15_000], "new", *words[15_000:29_000], *words[:60]]
+    rows = [(1, " ".join(words)), (2, "\n".join(edited)), (3, " ".join(words[100:140])), (4, "x")]
+    table = X.table(spark, rows).cache()
+    removed = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.deduplicate_substrings(table).collect()}
+    assert removed == {i: (len(w), sum(gone)) for i, w, gone in X.removed_words(rows)}
+    joined = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(table, 4, 85, 100, sketch_bits=14).collect()}
+    groups = X.components(rows, 4, 85, 100)
+    assert joined == {i: (len(X.shingles(t, 4)), groups[i]) for i, t in rows} and groups[2] == 1
+    measured = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judge_documents(table).collect()}
+    assert measured == {i: _measures(t) for i, t in rows}
+    t = library("byte_bpe_50k.json")
+    tokens = Counter()
+    for p in packing.pack_documents(table).collect():
+        tokens[p.doc_id] += p.length
+    assert tokens == {i: len(t.encode(x, add_special_tokens=False).ids) + 1 for i, x in rows}
+    t = library("word_bpe_49k.json")
+    assert {r.doc_id: r.n_tokens for r in encode_documents(table).collect()} == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in rows}
+    assert {r.doc_id: r.n_words for r in license_scan.scan_licenses(table).collect()} == {i: len(x.split()) for i, x in rows}
+    prints = {r.doc_id: r for r in multiset_hash.fingerprint_edits(table).collect()}
+    assert {i: p.n_chars for i, p in prints.items()} == {i: len(x) for i, x in rows} and prints[1].near_next < 1.0
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    good = " ".join(f"word{k}" for k in range(80))
+    rows = [(None, good), (None, good + " more"), (5, good), (5, good), (6, None)]
+    docs = X.table(spark, rows)
+    assert corpus_pipeline.quality(spark, docs, "").count() == 4
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in kept) == {None: 2, 5: 2, 6: 1}
+    cut = corpus_pipeline.substrings(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in cut) == {None: 2, 5: 2, 6: 1}
+    assert Counter(p.doc_id for p in corpus_pipeline.packing(spark, docs, "").collect()).keys() == {None, 5, 6}
