@@ -137,3 +137,27 @@ def first_allowed(value: str | Column, allowed: tuple[str, ...]) -> Column:
     for a in allowed[1:]:
         out = out.when(col(value).contains(a), F.lit(a))
     return out
+
+
+def joined_url(base: str, path: str | Column) -> Column:
+    """A path below a base; an address of its own stays."""
+    return F.when(col(path).rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), col(path)).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(col(path), F.lit("/"))))
+
+
+def last_segments(u: str | Column, n: int) -> Column:
+    """The last ``n`` segments of a path, joined by slashes."""
+    parts = F.split(F.rtrim(col(u), F.lit("/")), "/")
+    return F.array_join(F.slice(parts, -F.least(F.lit(n), F.size(parts)), F.lit(n)), "/")
+
+
+def levenshtein_ratio(a: str | Column, b: str | Column) -> Column:
+    """1 less the edit distance over the longer length; 1 for two empty texts."""
+    longer = F.greatest(F.length(col(a)), F.length(col(b)))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(col(a), col(b)) / longer)
+
+
+def hamming_ratio(a: str | Column, b: str | Column) -> Column:
+    """Share of equal characters at equal places of the longer text; 1 for two empty texts."""
+    longer = F.greatest(F.length(col(a)), F.length(col(b)))
+    equal = F.size(F.filter(F.arrays_zip(F.split(col(a), "").alias("x"), F.split(col(b), "").alias("y")), lambda p: p["x"] == p["y"]))
+    return F.when(longer == 0, 1.0).otherwise(equal / longer)

@@ -124,6 +124,12 @@ def resolved_links(links: DataFrame, publishers: DataFrame, base: str, wiley_bas
     return known.select(*links.columns, "publisher", pdf.alias("pdf_download_link"), crossref.alias("crossref_metadata_url"))
 
 
+def harvested_links(html: str | Column, inside: str = "span") -> Column:
+    """Targets of the links that hold an element ``inside``, in order."""
+    each = F.regexp_extract_all(cleaned(html), F.lit(r"(?is)<a\b[^>]*>.*?</a>"), 0)
+    return F.transform(F.filter(each, lambda a: a.rlike(rf"(?is)<{inside}\b")), lambda a: F.regexp_extract(a, r'(?is)\bhref="([^"]*)"', 1))
+
+
 def page_text(html: str | Column) -> Column:
     """The whole text of a page, spaces collapsed."""
     return F.trim(F.regexp_replace(F.regexp_replace(cleaned(html), r"(?s)<[^>]*>", " "), r"\s+", " "))

@@ -38,7 +38,7 @@ def blocks(html: str | Column, tags: tuple[str, ...] = ("h1", "h2", "h3", "h4",
     return F.filter(texts, lambda t: t != "")
 
 
-TEI = "title string, abstract string, doi string, keywords array<string>, authors array<string>, idnos array<struct<type:string,value:string>>, sections array<struct<head:string,text:string>>"
+TEI = "title string, abstract string, doi string, keywords array<string>, authors array<string>, idnos array<struct<type:string,value:string>>, sections array<struct<head:string,text:string>>, figures array<struct<head:string,text:string>>"
 
 
 def parse_tei(xml: str | None) -> dict | None:
@@ -69,6 +69,7 @@ def parse_tei(xml: str | None) -> dict | None:
         "authors": authors,
         "idnos": idnos,
         "sections": sections,
+        "figures": [{"head": next((text(h) for h in f if name(h) == "head"), None), "text": next((text(d) for d in f if name(d) == "figDesc"), None)} for f in every(root, "figure")],
     }
 
 
@@ -76,7 +77,7 @@ def tei_fields(xml: str | Column) -> Column:
     """Struct of the fields of TEI documents, parsed in Arrow batches."""
     @F.pandas_udf(TEI)
     def parse(texts: pd.Series) -> pd.DataFrame:
-        empty = {k: None for k in ("title", "abstract", "doi", "keywords", "authors", "idnos", "sections")}
+        empty = {k: None for k in ("title", "abstract", "doi", "keywords", "authors", "idnos", "sections", "figures")}
         return pd.DataFrame([parse_tei(t) or empty for t in texts], columns=list(empty))
 
     return parse(F.col(xml) if isinstance(xml, str) else xml)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions import text as T
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each group (a window over the keys; ties must be broken by the order)."""
@@ -90,6 +92,30 @@ def enriched(df: DataFrame, items: str, settings: str, key: str = "configuration
     return df.withColumn(items, F.transform(items, filled))
 
 
+def matched_files(files: DataFrame, sources: DataFrame, name: str, key: Column, value: str) -> DataFrame:
+    """Files with the source whose key equals the file's name, both reduced to letters and digits; of sources with equal keys the
+    one with the greatest ``value`` counts."""
+    known = sources.groupBy(T.alnum_key(key).alias("_key")).agg(F.max(value).alias(value))
+    return files.withColumn("_key", T.alnum_key(name)).join(known, "_key", "left").drop("_key")
+
+
+def with_first(df: DataFrame, others: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Left join with the first of the others' rows of each key."""
+    return df.join(first_by(others, keys, *order), keys, "left")
+
+
+def runnable(definitions: DataFrame, done: DataFrame, available: DataFrame, key: str = "name", names: list[str] | None = None, disabled: str = "disabled") -> DataFrame:
+    """Definitions that are available, not disabled, not yet done and, if names are given, among these."""
+    left = definitions.where(~F.coalesce(F.col(disabled), F.lit(False)))
+    left = left if names is None else left.where(F.col(key).isin(names))
+    return left.join(available.select(key).distinct(), key, "left_semi").join(done.select(key).distinct(), key, "left_anti")
+
+
+def shuffled(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:
+    """``n`` rows in an order that looks random and is the same in every run: by md5 of key and seed."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(n)
+
+
 def agent_reference(sources: Column, title: Column, content: Column) -> Column:
     """Title, link of the first of several sources (literals between ``;{``) and text of a JSON content, with defaults."""
     first = F.split_part(F.coalesce(sources, F.lit("")), F.lit(";{"), F.lit(1))

@@ -297,3 +297,65 @@ def multi_hop_samples(read):
     edges = nodes.select(F.col("id").alias("source")).join(other, "source")
     contexts = nodes.select("id", F.concat(F.lit("customer "), "id").alias("text"))
     return C.qa_samples(C.multi_hop_scenarios(edges, nodes, 2), contexts).select("source", "target", "theme", F.array_join("contexts", "|").alias("contexts"))
+
+
+@query("file_sources", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'src ' || c_custkey END AS source FROM customer")
+def file_sources(read):
+    """Files named after customers; every second customer is a source, written otherwise."""
+    files = read("customer").select("c_custkey", F.regexp_replace("c_name", "#", "_").alias("name"))
+    sources = read("customer").where("c_custkey % 2 = 0").select(F.concat(F.lit(" "), F.regexp_replace("c_name", "#", " - ")).alias("title"), F.concat(F.lit("src "), "c_custkey").alias("source"))
+    return S.matched_files(files, sources, "name", F.col("title"), "source").select("c_custkey", "source")
+
+
+@query("first_feedback", "SELECT c_custkey, c_nationkey, k AS o_orderkey, o_orderstatus, n_name FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 1")
+def first_feedback(read):
+    """Customers with their first order and, where it is active, their nation: two left joins, the first match each."""
+    orders = read("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    nations = read("nation").where("n_regionkey <> 1").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    joined = S.with_first(read("customer").select("c_custkey", "c_nationkey"), orders, ["c_custkey"], F.col("o_orderkey"))
+    return S.with_first(joined, nations, ["c_nationkey"], F.col("n_name"))
+
+
+@query("length_mismatches", "SELECT a.o_custkey AS id, a.n AS n_orders, coalesce(b.n, 0) AS n_open FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) a LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) b USING (o_custkey) WHERE a.n <> coalesce(b.n, 0)")
+def length_mismatches(read):
+    """Lists that should be equally long and are not."""
+    both = read("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list("o_orderkey").alias("a"), F.collect_list(F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey"))).alias("b"))
+    return both.where(F.size("a") != F.size("b")).select("id", F.size("a").cast("long").alias("n_orders"), F.size("b").cast("long").alias("n_open"))
+
+
+@query("runnable_definitions", "SELECT p_partkey AS name FROM part WHERE p_partkey % 7 <> 0 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_tax > 0.07)")
+def runnable_definitions(read):
+    definitions = read("part").select(F.col("p_partkey").alias("name"), (F.col("p_partkey") % 7 == 0).alias("disabled"))
+    items = read("lineitem").withColumnRenamed("l_partkey", "name")
+    return S.runnable(definitions, items.where("l_discount > 0.09 and l_tax > 0.07"), items.where("l_quantity > 45")).select("name")
+
+
+@query("seeded_sample", "SELECT event_id FROM events ORDER BY md5(event_id || 'seed'), event_id LIMIT 50")
+def seeded_sample(read):
+    """Fifty rows in a fixed order that looks random: a sample, by its nature."""
+    return S.shuffled(read("events").select("event_id"), "event_id", 50, "seed")
+
+
+@query("url_operations", r"SELECT page_id, 'https://b.example/x/' || page_id AS joined, split_part(rtrim(regexp_replace(url, '[?#].*$', ''), '/'), '/', -1) AS tail, replace(url_encode(url || ' é'), '%20', '+') AS quoted FROM pages")
+def url_operations(read):
+    plain = F.regexp_replace("url", r"[?#].*$", "")
+    path = F.concat(F.lit("/x/"), "page_id")
+    return read("pages").select("page_id", T.joined_url("https://b.example/", path).alias("joined"), T.last_segments(plain, 1).alias("tail"), F.url_encode(F.concat("url", F.lit(" é"))).alias("quoted"))
+
+
+@query("harvested_links", "SELECT c_custkey, 'http://x/' || c_custkey AS link FROM customer WHERE c_custkey % 2 = 0")
+def harvested_links(read):
+    html = F.concat(F.lit('<a href="http://no">n</a><a class="c" href="http://x/'), "c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.lit('"><span>d</span></a>')).otherwise(F.lit('">d</a>')))
+    return read("customer").select("c_custkey", F.explode(C.harvested_links(html)).alias("link"))
+
+
+@query(
+    "string_similarities",
+    """WITH p AS (SELECT a.p_partkey AS x, b.p_partkey AS y, a.p_name AS s, b.p_name AS t FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
+    SELECT x, y, round(1 - levenshtein(s, t) / greatest(length(s), length(t)), 6) AS levenshtein, round(len(list_filter(range(1, least(length(s), length(t)) + 1), lambda i: s[i] = t[i])) / greatest(length(s), length(t)), 6) AS hamming FROM p""",
+)
+def string_similarities(read):
+    """Names of neighbouring parts."""
+    a = read("part").select(F.col("p_partkey").alias("x"), F.col("p_name").alias("s"))
+    b = read("part").select((F.col("p_partkey") - 1).alias("x"), F.col("p_partkey").alias("y"), F.col("p_name").alias("t"))
+    return a.join(b, "x").select("x", "y", F.round(T.levenshtein_ratio("s", "t"), 6).alias("levenshtein"), F.round(T.hamming_ratio("s", "t"), 6).alias("hamming"))

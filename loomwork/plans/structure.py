@@ -269,11 +269,18 @@ def scenario_sample(read):
     return graph.scenarios(nodes, ["novice", "expert"], ["plain", "formal"], ["short", "long"], 3, "s")
 
 
-@query("edge_patterns", "SELECT c_custkey AS source, o_orderkey AS target, o_orderstatus AS type, c_mktsegment AS source_segment, o_orderpriority AS target_priority FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus IN ('O', 'P')")
+@query(
+    "edge_patterns",
+    """WITH n AS (SELECT c_custkey AS id, c_mktsegment AS label FROM customer UNION ALL SELECT -1 - n_nationkey, n_name FROM nation)
+    SELECT c_custkey AS source, (-1 - c_nationkey)::BIGINT AS target, 'lives in' AS type, a.label AS source_label, b.label AS target_label FROM customer JOIN n a ON a.id = c_custkey JOIN n b ON b.id = -1 - c_nationkey WHERE c_custkey % 3 <> 1""",
+)
 def edge_patterns(read):
-    a = read("customer").select(F.col("c_custkey").alias("source"), F.col("c_mktsegment").alias("source_segment"))
-    edges = read("orders").where(F.col("o_orderstatus").isin("O", "P")).select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"), F.col("o_orderstatus").alias("type"), F.col("o_orderpriority").alias("target_priority"))
-    return edges.join(a, "source").select("source", "target", "type", "source_segment", "target_priority")
+    """Edges of two of three kinds with the labels of both ends."""
+    customers = read("customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_mktsegment").alias("label"))
+    nodes = customers.unionByName(read("nation").select((-1 - F.col("n_nationkey")).cast("long").alias("id"), F.col("n_name").alias("label")))
+    kind = F.when(F.col("c_custkey") % 3 == 1, "born in").otherwise("lives in")
+    edges = read("customer").select(F.col("c_custkey").cast("long").alias("source"), (-1 - F.col("c_nationkey")).cast("long").alias("target"), kind.alias("type"))
+    return graph.edge_patterns(edges, nodes, ("lives in", "works in")).select("source", "target", "type", "source_label", "target_label")
 
 
 @query("line_vocabulary", f"SELECT kind AS field, count(DISTINCT line) AS n_items FROM ({_LINES}) GROUP BY kind")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,6 +135,15 @@ def page_numbers(spark: SparkSession, start: int, last: int, limit: int | None =
     return spark.createDataFrame([(n,) for n in (numbers if limit is None else numbers[:limit])], "page int")
 
 
+def until_empty(numbers: Iterable[int], rows_of: Callable[[int], list]) -> Iterator[tuple[int, list]]:
+    """Pages of a listing with their rows, up to the first without any."""
+    for n in numbers:
+        found = rows_of(n)
+        if not found:
+            return
+        yield n, found
+
+
 def synthetic_vectors(spark: SparkSession, n: int, dim: int, centres: int = 10, seed: int = 1) -> DataFrame:
     """Gaussian blobs around ``centres`` points."""
     base = spark.range(n).withColumn("label", (F.col("id") % centres).cast("int"))

@@ -104,6 +104,7 @@ def test_fetching_and_configurations(spark):
     assert readers.only_entry({"splitter": {"words": {"size": 3}}}, "splitter") == ("words", {"size": 3})
     with pytest.raises(ValueError):
         readers.only_entry({"splitter": {}}, "splitter")
+    assert [n for n, _ in readers.until_empty(range(1, 9), lambda n: [n] if n < 4 else [])] == [1, 2, 3]
     assert readers.substituted([{"d": "@dimension"}, "x"], {"@dimension": 8}) == [{"d": 8}, "x"]
 
 
