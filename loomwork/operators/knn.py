@@ -135,23 +135,6 @@ def lsh_search(queries: DataFrame, corpus: DataFrame, k: int, planes: int = 6, t
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def similar_pairs(queries: DataFrame, corpus: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """(qid, did, similarity) with a cosine of ``least`` or more, by blocks."""
-    pairs = packed(queries, "vec_id", "embedding", block).select(F.col("ids").alias("qids"), "dim", F.col("data").alias("qdata")).crossJoin(packed(corpus, "vec_id", "embedding", block).select("ids", "data"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for qids, dim, qdata, ids, data in p.itertuples(index=False):
-                a, b = (np.frombuffer(x, "<f8").reshape(-1, dim) for x in (qdata, data))
-                s = 1 - distances("angular", a, b)
-                i, j = np.nonzero(s >= least)
-                qi, di = np.asarray(qids)[i], np.asarray(ids)[j]
-                keep = qi != di
-                yield pd.DataFrame({"qid": qi[keep], "did": di[keep], "similarity": s[i, j][keep]})
-
-    return pairs.mapInPandas(run, "qid long, did long, similarity double")
-
-
 def linked_pairs(vectors: DataFrame, least: float, block: int = 2048) -> DataFrame:
     """(source, target, similarity): all pairs of vectors with a cosine of ``least`` or more, each once, source < target.
 

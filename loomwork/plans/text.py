@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.operators import knn as K
+from loomwork.operators import hybrid as H
 from loomwork.operators import lexical as L
 from loomwork.plans.registry import query
 
@@ -56,25 +56,20 @@ _SPARSE = f"""t AS ({_DOC_TF}), n AS (SELECT did, sqrt(sum(weight * weight)) AS
     u AS (SELECT did, term, weight / norm AS weight FROM t JOIN n USING (did)), x AS (SELECT * FROM u WHERE did % 100 = 0)"""
 
 
-def _weights(read):
-    """Term counts of documents by the length of their vector."""
-    counts = L.term_counts(read("documents"), "doc_id", T.tokens_letters("text"))
-    norms = counts.groupBy("did").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    return counts.join(norms, "did").select("did", "term", (F.col("tf") / F.col("norm")).alias("weight"))
-
-
-def _as_queries(weights):
-    return weights.where("did % 100 = 0").withColumnRenamed("did", "qid")
-
-
 @query(
     "sparse_dot",
     f"WITH {_SPARSE}, p AS (SELECT x.did AS qid, u.did, round(sum(x.weight * u.weight), 6) AS score FROM x JOIN u USING (term) WHERE x.did <> u.did GROUP BY ALL) "
     "SELECT qid, did, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, did) AS rank FROM p) WHERE rank <= 10",
 )
 def sparse_dot(read):
-    w = _weights(read)
-    return L.top(L.sparse_dot(_as_queries(w), w).where("qid <> did").select("qid", "did", F.round("score", 6).alias("score")), 10)
+    rows = _searched(read).withColumn("embedding", F.lit(None).cast("array<float>"))
+    return H.search(rows.where("id % 100 = 0"), rows, 10, 0.0, 1.0)
+
+
+def _searched(read):
+    """Documents and vectors of one id."""
+    documents = read("documents").select(F.col("doc_id").alias("id"), T.tokens_letters("text").alias("tokens"))
+    return documents.join(read("embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "full")
 
 
 @query(
@@ -86,15 +81,8 @@ def sparse_dot(read):
 )
 def hybrid_full_topk(read):
     """Documents and vectors of one id fused: 0.7 of the dense similarity of every vector to each query and 0.3 of the sparse."""
-    e = read("embeddings")
-    w = _weights(read)
-    return L.top(_all_fused(e, L.sparse_dot(_as_queries(w), w).where("qid <> did")), 10)
-
-
-def _all_fused(e, sparse):
-    """Every hundredth vector with all others, fused with sparse scores."""
-    dense = K.similar_pairs(K.every_hundredth(e), e, float("-inf")).select("qid", "did", (1 - F.round(1 - F.col("similarity"), 6)).alias("score"))
-    return L.fused(dense, sparse)
+    rows = _searched(read)
+    return H.search(rows.where("id % 100 = 0"), rows, 10)
 
 
 _RERANK = f"""{_BM25}, qt AS (SELECT item_id AS qid, list_distinct({TOKENS_A}) AS q FROM benchmark),
