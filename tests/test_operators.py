@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import text as T
-from loomwork.operators import folds, graph, knn, layout, markup, ranking, service
+from loomwork.operators import folds, graph, hybrid, knn, layout, markup, ranking, service
 from loomwork.sources import readers, writers
 from loomwork.streaming import ingest
 
@@ -162,13 +162,26 @@ def test_contained_terms_stand_inside_words(spark):
     assert sorted((r.id, r.term) for r in graph.contained(nodes, terms).collect()) == [(1, "amazon's"), (1, "e.g."), (1, "forest"), (1, "rain"), (3, "sea")]
 
 
-def test_fusion_has_dense_scores_of_all_documents(spark):
-    from loomwork.plans.text import _all_fused
+def test_hybrid_search_equals_all_pairs(spark):
+    """Rows without vector or without words, in blocks of a few rows, against scores of all pairs."""
+    import random
 
-    e = spark.createDataFrame([(0, [1.0, 0.0])] + [(i, [1.0, 0.001 * i]) for i in range(1, 81)], "vec_id long, embedding array<double>")
-    sparse = spark.createDataFrame([(0, 80, 0.5), (0, 200, 0.4)], "qid long, did long, score double")
-    got = {r.did: r.score for r in _all_fused(e, sparse).collect()}
-    assert len(got) == 81 and got[200] == pytest.approx(0.12) and got[80] == pytest.approx(0.7 / math.hypot(1, 0.08) + 0.15, abs=2e-6)
+    r = random.Random(6)
+    rows = [(i, None if i % 9 == 0 else r.choices("abcdefgh", k=r.randint(0, 6)), None if i % 5 == 1 else [r.uniform(-1, 1) for _ in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, embedding array<double>").repartition(3)
+
+    def score(x, y):
+        w = [{t: v.count(t) / math.sqrt(sum(v.count(u) ** 2 for u in set(v))) for t in v} for v in (x[1] or [], y[1] or [])]
+        s = sum(w[0][t] * w[1].get(t, 0) for t in w[0])
+        d = None if x[2] is None or y[2] is None else round(sum(p * q for p, q in zip(x[2], y[2], strict=True)) / math.hypot(*x[2]) / math.hypot(*y[2]), 6)
+        return None if not s and d is None else 0.7 * (d or 0) + 0.3 * s
+
+    got = {}
+    for g in hybrid.search(df.where("id < 12"), df, 7, queries_per_block=5, rows_per_block=8).collect():
+        got.setdefault(g.qid, []).append((g.rank, g.score))
+    for x in rows[:12]:
+        every = sorted((-score(x, y) for y in rows if y[0] != x[0] and score(x, y) is not None))[:7]
+        assert [s for _, s in sorted(got.get(x[0], []))] == pytest.approx([-s for s in every], abs=2e-6)
 
 
 def test_sources_and_sinks(spark, tmp_path):
