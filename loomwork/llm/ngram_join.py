@@ -476,16 +476,20 @@ def _blocks(long_rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     A block holds the nodes of one chunk.  Entries of near copies have much the same nodes: where all nodes under a
     leader are at most twice those of its largest chunk, its chunks are one block, which holds every pair of each of them.
     """
-    under = long_rows.groupBy("leader", "node").agg(F.max("members").alias("members"))
-    size = scratch.written(under.groupBy("leader").agg(F.count(F.lit(1)).alias("nodes"), F.max("members").alias("largest")).where("nodes <= 2 * largest").select("leader", F.lit(True).alias("merged")), "leaders")
-    own = F.col("chunk").bitwiseAND(F.lit(0xFFFF))
-    keyed = long_rows.join(size, "leader", "left").select("entry", own.alias("own"), F.when(F.col("merged"), F.col("leader")).otherwise(F.xxhash64("entry", own)).alias("key"), "node")
-    keyed = scratch.written(keyed.groupBy("entry", "own", "key", "node").agg(F.lit(1).alias("one")).drop("one"), "keyed")
-    chunks = keyed.groupBy("entry", "own", "key").agg(F.lit(1).alias("one")).drop("one")
+    under = scratch.written(long_rows.groupBy("leader", "node").agg(F.max("members").alias("members")), "under")
+    merged = scratch.written(under.groupBy("leader").agg(F.count(F.lit(1)).alias("nodes"), F.max("members").alias("largest")).where("nodes <= 2 * largest").select("leader"), "leaders")
+    own = F.col("chunk").bitwiseAND(F.lit(0xFFFF)).alias("own")
+    # leaders meet the nodes and the chunks under them apart: in a group of near copies each node has many entries.
+    # Not a semi join: that would be moved below the distinct
+    together = long_rows.select("entry", own, "leader").distinct().join(merged, "leader").select("entry", "own", F.col("leader").alias("key"))
+    alone = long_rows.join(merged, "leader", "left_anti").select("entry", own, "node").withColumn("key", F.xxhash64("entry", "own"))
+    chunks = scratch.written(together.unionByName(alone.select("entry", "own", "key")).distinct(), "chunks")
+    whole = under.join(merged, "leader").select(F.col("leader").alias("key"), "node")
+    members = scratch.written(whole.unionByName(alone.select("key", "node")).distinct(), "members")
     other = chunks.select("entry", F.col("own").alias("next"), F.col("key").alias("two"))
     cross = chunks.join(other, "entry").where("own <= next").select(F.least("key", "two").alias("one"), F.greatest("key", "two").alias("two")).distinct()
-    out = scratch.written(cross, "cross"), scratch.written(keyed.select("key", "node").distinct(), "members")
-    scratch.drop("keyed", "leaders")
+    out = scratch.written(cross, "cross"), members
+    scratch.drop("under", "leaders", "chunks")
     return out
 
 

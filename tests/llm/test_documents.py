@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from loomwork.llm import license_scan, license_texts, multiset_hash, ngram_join, packing, quality, substring_dedup
+from loomwork.llm.scratch import Scratch
 from loomwork.llm.bpe import encode_documents, forced_boundary_tokenizer
 from loomwork.llm.vocab import tokenizer_path
 from tests.llm import fixtures as X
@@ -219,6 +220,28 @@ def test_long_entries_in_chunks_and_blocks(spark, monkeypatch):
     assert got == X.components(rows, 4, 85, 100) and len(set(got.values())) < 160
 
 
+def test_blocks_need_no_row_for_each_node_and_entry(spark):
+    """One group of 60 nodes that share 40 entries, and two entries whose leader has more nodes than twice a chunk's."""
+    group = [(e, 1 << 16, node, 1, 60) for e in range(40) for node in range(1, 61)]
+    apart = [(100 + e, 1 << 16, node, 500, 5) for e in range(4) for node in range(500 + 5 * e, 505 + 5 * e)]
+    table = spark.createDataFrame(group + apart, "entry long, chunk int, node long, leader long, members long")
+    written = []
+
+    class Counted(Scratch):
+        def written(self, df, name):
+            out = super().written(df, name)
+            written.append((name, out.count()))
+            return out
+
+    cross, members = ngram_join._blocks(table, Counted(spark))
+    assert max(n for _, n in written) < 200, written
+    held = {}
+    for r in members.collect():
+        held.setdefault(r.key, set()).add(r.node)
+    assert held[1] == set(range(1, 61)) and sorted(map(sorted, held.values()))[1:] == [list(range(500 + 5 * e, 505 + 5 * e)) for e in range(4)]
+    assert {(r.one, r.two) for r in cross.collect()} == {(k, k) for k in held}
+
+
 def test_texts_of_one_id_are_verified_each_with_its_own(spark):
     words = lambda i, k: [f"w{i}x{k}n{j}" for j in range(60)]
     near = lambda w: " ".join([*w[:-1], "other"])
